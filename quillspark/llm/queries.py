@@ -1,11 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import chat
+from quillspark.llm import chat, secrets
 
 QUERIES = {
+    "op1_secret_ledger": secrets.op1_secret_ledger,
     "op10_chat": chat.op10_chat,
 }
 
 ORACLE_SQL = {
+    "op1_secret_ledger": secrets.OP1_SQL,
     "op10_chat": chat.OP10_SQL,
 }
