@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import chat, secrets
+from quillspark.llm import bpe, chat, secrets
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
+    "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
 }
 
