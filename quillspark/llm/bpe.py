@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quillspark.functions.tables import table
+from quillspark.llm.common import slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -150,6 +151,10 @@ class Codec:
         return b"".join(map(self.engine.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 32_000_000
+
+
 def _codec(ranks, pattern: str) -> Codec:
     """One codec for each Python process, as building its tables takes a while."""
     kept = sys.__dict__.setdefault("_quillspark_codecs", {})
@@ -160,25 +165,6 @@ def _codec(ranks, pattern: str) -> Codec:
     return kept[key]
 
 
-#: Characters of text that are encoded at once.
-SLICE_CHARS = 32_000_000
-
-
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with at most ``limit`` bytes of ``column`` (or one row)."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start = total = 0
-    for i, n in enumerate(sizes.tolist()):
-        if total + n > limit and i > start:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if batch.num_rows > start:
-        yield batch.slice(start)
-
-
 def tokenized(
     df: DataFrame, ranks: dict[bytes, int], pattern: str, derive: Callable[[bytes, Codec], tuple], fields: str, text: str = "text"
 ) -> DataFrame:
@@ -191,7 +177,7 @@ def tokenized(
     def run(batches):
         codec = _codec(shared, pattern)
         for b in batches:
-            for part in slices(b, text):
+            for part in slices(b, text, SLICE_BYTES):
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 made = [derive(ids, codec) for ids in codec.encode(texts)]
                 columns = [pa.array(list(x)) for x in zip(*made, strict=True)] if made else []

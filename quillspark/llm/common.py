@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,16 @@ def crc_mod(column: str, modulus: int) -> Column:
 def null_safe_key(column: str) -> Column:
     """The column as a string that joins like any value even where it is null."""
     return F.when(F.col(column).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(column).cast("string")))
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``limit`` bytes of ``column`` (or one row)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if total + n > limit and i > start:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if batch.num_rows > start:
+        yield batch.slice(start)

@@ -1,14 +1,17 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import bpe, chat, secrets
+from quillspark.llm import bpe, chat, langid, mixing, secrets
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
+    "op4_mixing": mixing.op4_mixing,
+    "op6_langid": langid.op6_langid,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
 }
 
 ORACLE_SQL = {
     "op1_secret_ledger": secrets.OP1_SQL,
+    "op4_mixing": mixing.OP4_SQL,
     "op10_chat": chat.OP10_SQL,
 }
