@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import bpe, chat, langid, mixing, secrets
+from quillspark.llm import bpe, chat, langid, mixing, quality, secrets
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
     "op4_mixing": mixing.op4_mixing,
+    "op5_quality": quality.op5_quality,
     "op6_langid": langid.op6_langid,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
