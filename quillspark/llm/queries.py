@@ -1,12 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import bpe, chat, langid, mixing, quality, secrets
+from quillspark.llm import bpe, chat, langid, mixing, quality, secrets, warc
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
     "op6_langid": langid.op6_langid,
+    "op7_warc": warc.op7_warc,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
 }
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_secret_ledger": secrets.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op10_chat": chat.OP10_SQL,
 }
