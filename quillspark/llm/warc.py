@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import scratch
+from quillspark.llm.common import scratch, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -53,7 +53,8 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
         .where("copies > 1")
         .select("digest", "n", "keeper")
     )
-    rows = base.join(copies, ["digest", "n"], "left")
+    # stored, so that its size is known: Spark broadcasts it below its threshold and else shuffles the pages
+    rows = base.join(stored(copies, "warc-copies"), ["digest", "n"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), "n", F.lit(END))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
