@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import bpe, chat, langid, mixing, quality, secrets, toxicity, warc
+from quillspark.llm import bpe, chat, langid, mixing, neardup, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
+    "op2_neardup": neardup.op2_neardup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
