@@ -1,0 +1,75 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from quillspark.llm import search
+
+
+def brute(docs, queries, k=10):
+    bags = [Counter(re.findall(r"\w+", (t or "").lower())) for _, t in docs]
+    n, mean = len(docs), max(1, sum(map(Counter.total, bags))) / max(1, len(docs))
+    df = Counter(w for b in bags for w in b)
+    out = {}
+    for q, text in queries:
+        score = []
+        for (i, _), b in zip(docs, bags, strict=True):
+            s = 0.0
+            for w, f in sorted(Counter(re.findall(r"\w+", (text or "").lower())).items()):
+                if w in b:
+                    idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+                    s += f * idf * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * b.total() / mean))
+            if s > 0:
+                score.append((-round(s, 9), i is None, i))
+        out[q] = [(i, -s) for s, _, i in sorted(score, key=lambda x: (x[0], x[1], x[2] or 0))[:k]]
+    return out
+
+
+def corpus(seed, n):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    odds = [1 / (i + 1) for i in range(400)]
+    rows = [(i, " ".join(r.choices(words, odds, k=r.randint(1, 120)))) for i in range(n)]
+    return rows + [(n + i, rows[100][1]) for i in range(30)]
+
+
+def test_query_against_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 150)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 150)
+    docs = [*corpus(7, 500), (600, None), (650, ""), (700, "ÉTÉ été"), (None, "w1 w1 w2"), (700, "été W3")]
+    spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, rank int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in search.op8_search(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    once = [(i, t) for i, t in docs if i is not None and i % 50 == 0 and i != 700]
+    for q, want in brute(docs, once).items():
+        rows = sorted(got.pop(q, []))
+        assert [i for _, i, _ in rows] == [i for i, _ in want], q
+        assert np.allclose([s for *_, s in rows], [s for _, s in want], atol=2e-6)
+        assert [r for r, *_ in rows] == list(range(1, len(want) + 1))
+    assert list(got) == [700] and len(got[700]) > 10  # two queries of one id
+
+
+def test_one_shard_skips_blocks():
+    docs = corpus(3, 3000)
+    known = {}
+    found = [search.terms_of(t, known) for _, t in docs]
+    shard = search.Shard(search.build([i for i, _ in docs], found), 60.0)
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        q = int(r.integers(0, len(docs)))
+        terms = found[q][0][r.random(len(found[q][0])) < r.choice([0.1, 0.5, 1])]
+        weights = r.uniform(0.05, 8, len(terms))
+        scores = np.zeros(len(docs))
+        for t, w in zip(np.searchsorted(shard.terms, terms), weights, strict=True):
+            a, b = shard.offsets[t], shard.offsets[t + 1]
+            scores[shard.docs[a:b]] += shard.part[a:b] * w
+        want = [i for i in np.lexsort((np.arange(len(docs)), -scores))[:10].tolist() if scores[i] > 0]
+        assert [i for i, _ in shard.search(terms, weights, 10)] == want
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert search.op8_search(spark, str(tmp_path)).count() == 0
