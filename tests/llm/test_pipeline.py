@@ -1,0 +1,62 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as cp
+from quillspark.llm import bpe
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n=100):
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdeiou", k=r.randint(2, 8))) for _ in range(n)]
+    return "\n".join(" ".join(words[i : i + 12]).capitalize() + "." for i in range(0, n, 12))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("pipeline")
+    texts = {i: prose(i) for i in range(300)}
+    texts |= {400 + i: texts[i] + " more" for i in range(20)}  # near copies
+    texts |= {500 + i: texts[0] for i in range(20)}  # copies
+    texts |= {600 + i: prose(900 + i).replace(" ", "### ") for i in range(10)}  # junk
+    texts |= {700: prose(700) + ' token = "0123456789abcdef0123"', 701: "short", 702: None, 703: ""}
+    rows = [(i, t, "en" if i % 3 else None, "big" if i % 4 else "small", len(t or ""), 0) for i, t in texts.items()]
+    spark.createDataFrame(rows + [rows[5]], SCHEMA + ", node int").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def staged(spark, folder, n):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in cp.STAGES[:n]:
+        docs = stage(spark, docs, folder)
+        path = cp.scratch(spark, "test-pipeline")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+def test_stages(spark, folder):
+    after = staged(spark, folder, 3)
+    assert after.columns == cp.COLUMNS
+    got = {r.doc_id: r.text for r in after.collect()}
+    assert set(got) == {*range(300), 700} and after.count() == 301
+    assert "0123456789abcdef" not in got[700] and "[secret:assign]" in got[700]
+    assert all(got[i] == prose(i) for i in range(300))
+    mixed = cp.source_mixing(spark, after, folder)
+    counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert set(counts) == set(got) and set(counts.values()) <= {1, 2}
+    small = [counts[i] for i in range(0, 300, 4)]
+    assert sum(small) > len(small)
+    ranks, pattern = bpe.default_vocabulary()
+    codec = bpe.Codec(ranks, pattern)
+    for r in cp.run(spark, folder).collect():
+        assert codec.decode(bytes(r.tokens)).decode() == got[r.doc_id]
+        assert r.n_tokens == len(np.frombuffer(r.tokens, "<u4"))
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
