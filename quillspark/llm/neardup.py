@@ -36,7 +36,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.tables import table
@@ -50,6 +50,7 @@ SKETCH = 256  # coordinates of the signature kept for estimates, a byte each
 #: Estimates of a similarity of THRESHOLD fall below this with a probability under one in a million.
 PLAUSIBLE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SKETCH) ** 0.5
 SMALL, LARGE, CARRY = 8, 1024, 128
+FILTER_BITS = 1 << 25
 #: Probabilities that a Poisson variable of mean 1 exceeds 0, 1, ..., scaled to 32 bits.
 _TAILS = []
 _p, _tail = 0.36787944117144233, 1.0
@@ -71,7 +72,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while they fit."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -153,7 +154,7 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashes, last = WordHashes(), {}
         for whole in batches:
-            for b in slices(whole, "text", 8_000_000):
+            for b in slices(whole, "text", 4_000_000):
                 keys, sketches = [], []
                 for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if node not in last:
@@ -248,24 +249,45 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return small.unionByName(forest).distinct()
 
 
-def expanded(texts: DataFrame) -> DataFrame:
-    """(node, text) to (node, units): a hash of each unit of weight, so that common units count shared weight."""
+def _slots(node: str, bits: int) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(node, F.lit(i)), F.lit(bits)) for i in range(3)))
+
+
+def bloom(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the nodes, ten bits each but FILTER_BITS at most, as 64-bit words."""
+    bits = min(FILTER_BITS, max(1024, 1 << (10 * nodes.count()).bit_length()))
+    slot = nodes.select(F.explode(_slots("node", bits)).alias("s"))
+    words = slot.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return out
+
+
+def expanded(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) to (node, units) for the nodes wanted and a few others: hashes of units of weight, of which texts share as many as weight.
+
+    A Bloom filter of bounded size keeps most texts that aren't wanted from being computed; none is moved.
+    """
+    words = bloom(nodes)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         hashes = WordHashes()
         for whole in batches:
-            for b in slices(whole, "text", 8_000_000):
+            slots = whole.column("slots").flatten().to_numpy().reshape(-1, 3)
+            hit = (shared.value[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).all(axis=1)
+            for b in slices(whole.filter(pa.array(hit)), "text", 4_000_000):
                 made = [units(*shingles(t, hashes))[0].view(np.int64) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "units"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, units array<long>")
+    rows = docs.where("node IS NOT NULL").select("node", "text", _slots("node", len(words) * 64).alias("slots")).mapInArrow(run, "node binary, units array<long>")
+    return rows.groupBy("node").agg(F.first("units").alias("units"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose texts have the similarity, with it."""
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "neardup-needed")
-    texts = docs.select("node", "text").join(needed, "node").groupBy("node").agg(F.first("text").alias("text"))
-    sets = stored(expanded(texts), "neardup-units")
+    sets = stored(expanded(docs.select("node", "text"), needed), "neardup-units")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("units").alias("ua")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("units").alias("ub")), "b")
     common = F.size(F.array_intersect("ua", "ub"))
