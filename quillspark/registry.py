@@ -6,18 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.plans import catalog_search
+
 Query = Callable[[SparkSession, str], DataFrame]
+CATALOGS = [catalog_search]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for c in CATALOGS for k, f in c.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for c in CATALOGS for k, s in c.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.functions.tables import table
-
-    return table(spark, sf_dir, "documents").select("doc_id")
+    return catalog_search.flagship(spark, sf_dir)
