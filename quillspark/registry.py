@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import catalog_search
+from quillspark.plans import catalog_documents, catalog_search
 
 Query = Callable[[SparkSession, str], DataFrame]
-CATALOGS = [catalog_search]
+CATALOGS = [catalog_search, catalog_documents]
 
 
 def queries() -> dict[str, Query]:

@@ -491,7 +491,6 @@ def sections(files: DataFrame) -> DataFrame:
                 for doc, out, parser, error in _documents(content, key, name):
                     base = {"source_id": source, "external_id": doc, "parser": parser, "error": error, "origin": "native"}
                     rows += [{**base, "ord": i, **s} for i, s in enumerate(out.sections)] or [base]
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({c: "Int64" for c in ("ord", "page", "row")})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("source_id", "external_id", "name", "content").mapInPandas(run, SECTIONS)
