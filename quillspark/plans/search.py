@@ -74,7 +74,7 @@ class Searcher:
 
     def _with_chunks(self, hits: DataFrame, best: DataFrame) -> DataFrame:
         own = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("chunks"))
-        return hits.join(own, "doc_id", "left")
+        return hits.join(own, "doc_id", "left").orderBy("place")
 
     def _nearest(self, q: Query, f: Filters) -> DataFrame:
         """Filtered only after the nearest are known."""
