@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators.chunking import Limits, chunked, text_sections
 from quillspark.operators.incremental import replaced
+from quillspark.operators.versions import VersionedTable
 
 
 def latest(batch: DataFrame, version: str = "modified_at") -> DataFrame:
@@ -21,25 +22,12 @@ def latest(batch: DataFrame, version: str = "modified_at") -> DataFrame:
     return batch.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
-class ChunkTable:
-    """Versions of a chunk table under one folder."""
+class ChunkTable(VersionedTable):
+    """A chunk table that micro-batches of documents update."""
 
     def __init__(self, spark: SparkSession, path: str, limits: Limits | None = None):
-        self.spark, self.path, self.limits = spark, path, limits
-
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = [int(n.removeprefix("v")) for n in names if n[:1] == "v" and n[1:].isdigit()]
-        complete = lambda v: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}/_SUCCESS"))
-        return sorted(v for v in done if complete(v))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        found = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
+        super().__init__(spark, path)
+        self.limits = limits
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """The version batch_id + 1: earlier chunks, those of the batch's documents replaced."""
@@ -49,7 +37,7 @@ class ChunkTable:
         if old is not None:
             gone = docs.select("doc_id").distinct()
             fresh = replaced(old.join(gone, "doc_id", "left_anti"), fresh)
-        fresh.write.mode("overwrite").parquet(f"{self.path}/v{batch_id + 1}")
+        self.write(fresh, batch_id + 1)
 
 
 def ingest(stream: DataFrame, table: ChunkTable, checkpoint: str) -> StreamingQuery:
