@@ -54,10 +54,10 @@ def date_tokens_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", _joined(spans.tokens_udf(spans.date_tokens)(F.col("text"))).alias("tokens"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN y % 100 < 40 THEN 2000 + y % 100 ELSE 1900 + y % 100 END AS year, month(o_orderdate) AS month FROM (SELECT *, year(o_orderdate) - 40 + (o_orderkey % 60)::INT AS y FROM orders) WHERE day(o_orderdate) <= 28""")
+@query("""SELECT o_orderkey, CASE WHEN y % 100 < 40 THEN 2000 + y % 100 ELSE 1900 + y % 100 END AS year, month(o_orderdate) AS month FROM (SELECT *, year(o_orderdate) - 40 + (o_orderkey % 60)::INT AS y FROM orders)""")
 def two_digit_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = "(year(o_orderdate) - 40 + cast(o_orderkey % 60 as int)) % 100"
-    rows = _orders(spark, sf_dir, f"concat(date_format(o_orderdate, 'dd/MM/'), lpad(cast({y} as string), 2, '0'))").where(F.dayofmonth("o_orderdate") <= 28)
+    rows = _orders(spark, sf_dir, f"concat(least(dayofmonth(o_orderdate), 28), date_format(o_orderdate, '/MM/'), lpad(cast({y} as string), 2, '0'))")
     when = F.to_date(F.get(spans.spans_udf(spans.dates)(F.col("text")), 0)["value"])
     return rows.select("o_orderkey", F.year(when).cast("long").alias("year"), F.month(when).cast("long").alias("month"))
 
@@ -77,11 +77,11 @@ def date_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, _ORDERS).select("o_orderkey", F.array_join(spans.date_variants(F.col("o_orderdate")), "|").alias("variants"))
 
 
-@query(f"SELECT o_orderkey, strftime(o_orderdate, 'dat%Y%m%d mon%Y%m yea%Y') || strftime(o_orderdate, ' mon%Y01') AS tokens FROM orders WHERE month(o_orderdate) <> 1 AND {_GENITIVE_SQL}[month(o_orderdate)] IS NOT NULL")
+@query(f"SELECT o_orderkey, strftime(o_orderdate, 'dat%Y%m%d mon%Y%m yea%Y') || CASE WHEN month(o_orderdate) = 1 THEN '' ELSE strftime(o_orderdate, ' mon%Y01') END AS tokens FROM orders")
 def date_tokens_textual(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = ", ".join(f"'{m}'" for m in spans.GENITIVES)
     rows = _orders(spark, sf_dir, f"concat(day(o_orderdate), ' ', element_at(array({words}), month(o_orderdate)), ' ', year(o_orderdate), ' r. oraz styczeń ', year(o_orderdate))")
-    return rows.where(F.month("o_orderdate") != 1).select("o_orderkey", _joined(spans.tokens_udf(spans.date_tokens)(F.col("text"))).alias("tokens"))
+    return rows.select("o_orderkey", _joined(spans.tokens_udf(spans.date_tokens)(F.col("text"))).alias("tokens"))
 
 
 # --- numbers
@@ -156,12 +156,10 @@ def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_MARK = "regexp_replace(coalesce(text, ''), '([.!?;])\\s+([A-ZĄĆĘŁŃÓŚŹŻ0-9])', '\\1' || chr(1) || '\\2', 'g')"
 
 
-@query(f"""SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS sentences FROM (SELECT doc_id, list_filter(list_transform(string_split({_SQL_MARK}, chr(1)), lambda x: {_SQL_TRIM.format("x")}), lambda x: x <> '') AS s FROM documents WHERE NOT regexp_matches(text, '[.!?;]\\s+[A-ZĄĆĘŁŃÓŚŹŻ0-9][.!?;]'))""")
+@query(f"""SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS sentences FROM (SELECT doc_id, list_filter(list_transform(string_split({_SQL_MARK}, chr(1)), lambda x: {_SQL_TRIM.format("x")}), lambda x: x <> '') AS s FROM documents)""")
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without sentences of one character, which the oracle's engine can't split."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[.!?;]\s+[A-ZĄĆĘŁŃÓŚŹŻ0-9][.!?;]"))
     s = chunking.sentences(F.col("text"))
-    return docs.select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("sentences"))
 
 
 @query()
@@ -209,7 +207,8 @@ def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("doc_id % 13 = 0")
+    """A log of errors: of labelled documents that are toxic, by the parity of their ids."""
+    rows = table(spark, sf_dir, "labels").where("toxic = 1")
     return rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "ocr").otherwise("parse").alias("stage"))
 
 
@@ -231,7 +230,7 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in reports.STATUSES)
 
 
-@query(f"""WITH {_STATUS_SQL}, o AS (SELECT *, used_ocr OR (doc_id % 13 = 0 AND doc_id % 2 = 0) OR (status = 'empty' AND extension = '.pdf') AS need FROM s),
+@query(f"""WITH {_STATUS_SQL}, o AS (SELECT *, used_ocr OR (doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) OR (status = 'empty' AND extension = '.pdf') AS need FROM s),
 c AS (SELECT count(*) AS discovered, {_COUNTS}, count(*) FILTER (need) AS ocr_needed, count(*) FILTER (used_ocr AND status IN ('indexed', 'partial')) AS ocr_succeeded FROM o)
 SELECT *, greatest(0, ocr_needed - ocr_succeeded) AS ocr_failed, greatest(0, discovered - indexed - partial) AS non_searchable, discovered > 0 AND discovered = indexed + partial AND indexed > 0 AS is_complete FROM c""")
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,61 +280,69 @@ def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"))
 
 
-# --- incremental: two snapshots of documents by id
+# --- incremental: known are the documents that have labels, a scan sees all but French ones
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
     return docs.select(
-        "doc_id", F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), F.when(F.col("doc_id") % 9 == 0, "pending").otherwise("indexed").alias("status"),
+        "doc_id", "lang", F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"),
+        F.when(F.col("doc_id") % 9 == 0, "pending").otherwise("indexed").alias("status"),
         F.concat(F.lit("hash:"), F.md5("text")).alias("change_key"), F.col("n_chars").alias("size"), F.lit(1).alias("seen_scan_id"), F.lit(1).alias("normalization_version"),
         F.when(F.col("doc_id") % 10 == 0, 0).otherwise(1).alias("chunking_version"), (F.col("doc_id") % 21 != 0).alias("fts_indexed"),
         F.when(F.col("doc_id") % 6 == 1, F.col("doc_id") - 1).alias("attachment_of"),
     )
 
 
+_KNOWN_SQL = "k AS (SELECT * FROM documents SEMI JOIN labels USING (doc_id)), i AS (SELECT * FROM documents WHERE lang <> 'fr')"
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0")
+    docs = table(spark, sf_dir, "documents").where("lang <> 'fr'")
     return docs.select("doc_id", F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), (F.col("n_chars") + 1).alias("size"))
 
 
-@query("""SELECT source AS source_id, doc_id::VARCHAR AS external_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN 'pending' ELSE 'indexed' END AS status,
-n_chars + (doc_id % 5 <> 0)::INT AS size, CASE WHEN doc_id % 5 <> 0 THEN 2 ELSE 1 END AS seen_scan_id FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 5 <> 0""")
+@query(f"""WITH {_KNOWN_SQL} SELECT coalesce(k.source, i.source) AS source_id, coalesce(k.doc_id, i.doc_id)::VARCHAR AS external_id,
+CASE WHEN k.doc_id IS NULL OR k.doc_id % 9 = 0 THEN 'pending' ELSE 'indexed' END AS status, coalesce(i.n_chars + 1, k.n_chars) AS size,
+CASE WHEN i.doc_id IS NOT NULL THEN 2 ELSE 1 END AS seen_scan_id FROM k FULL JOIN i ON k.doc_id = i.doc_id""")
 def upsert_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = incremental.register(_known(spark, sf_dir), _items(spark, sf_dir), 2)
     return out.select("source_id", "external_id", "status", "size", "seen_scan_id")
 
 
-@query("SELECT doc_id, doc_id % 9 = 0 OR doc_id % 8 = 1 OR doc_id % 10 = 0 OR doc_id % 21 = 0 AS again FROM documents WHERE doc_id % 4 <> 0")
+@query(f"WITH {_KNOWN_SQL} SELECT doc_id, doc_id % 9 = 0 OR doc_id % 8 = 1 OR doc_id % 10 = 0 OR doc_id % 21 = 0 AS again FROM k")
 def needs_processing(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.when(F.col("doc_id") % 8 == 1, "hash:new").otherwise(F.col("change_key"))
     return _known(spark, sf_dir).select("doc_id", incremental.needs_processing(new).alias("again"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 = 0 AND doc_id % 6 <> 1 AND source = 'src0'")
+@query(f"WITH {_KNOWN_SQL} SELECT doc_id FROM k WHERE lang = 'fr' AND doc_id % 6 <> 1 AND source = 'src0'")
 def stale_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = incremental.register(_known(spark, sf_dir), _items(spark, sf_dir).drop("doc_id"), 2)
     return incremental.stale(after, "src0", 2).select("doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE md5(text) END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE md5(text) END AS text FROM documents")
 def replace_doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text"))
-    return incremental.replaced(chunks, chunks.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("text")))
+    fresh = table(spark, sf_dir, "labels").select("doc_id", F.lit("new").alias("text"))
+    return incremental.replaced(chunks, fresh)
 
 
-@query("""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN doc_id - 1 END AS up FROM documents WHERE doc_id % 4 <> 0), r AS (SELECT doc_id FROM k WHERE doc_id % 10 = 6)
-SELECT doc_id FROM k WHERE doc_id NOT IN (SELECT doc_id FROM r) AND (up IS NULL OR up NOT IN (SELECT doc_id FROM r))""")
+@query(f"""WITH {_KNOWN_SQL}, u AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN doc_id - 1 END AS up, doc_id % 9 = 0 AS gone FROM k)
+SELECT doc_id FROM u WHERE NOT gone AND (up IS NULL OR up NOT IN (SELECT doc_id FROM u WHERE gone))""")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pending documents go, with their attachments."""
     known = _known(spark, sf_dir)
-    gone = incremental.with_descendants(known, known.where("doc_id % 10 = 6"))
+    gone = incremental.with_descendants(known, known.where("status = 'pending'"))
     return incremental.without(known, gone).select("doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'corrupted' ELSE 'download_failed' END WHEN doc_id % 9 = 0 THEN 'pending' ELSE 'indexed' END AS status, CASE WHEN doc_id % 6 = 0 THEN 'k2' ELSE 'hash:' || md5(text) END AS change_key, (doc_id % 3 = 0)::INT AS attempts FROM documents WHERE doc_id % 4 <> 0")
+@query(f"""WITH {_KNOWN_SQL} SELECT doc_id, CASE WHEN lang = 'fr' THEN CASE WHEN doc_id % 2 = 0 THEN 'corrupted' ELSE 'download_failed' END WHEN doc_id % 9 = 0 THEN 'pending' ELSE 'indexed' END AS status,
+CASE WHEN lang = 'fr' AND doc_id % 2 = 0 THEN 'k2' ELSE 'hash:' || md5(text) END AS change_key, (lang = 'fr')::INT AS attempts FROM k""")
 def mark_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _known(spark, sf_dir).withColumn("error_code", F.lit(None).cast("string")).withColumn("attempts", F.lit(0))
-    bad = known.where("doc_id % 3 = 0").select(
+    bad = known.where("lang = 'fr'").select(
         "doc_id", F.when(F.col("doc_id") % 2 == 0, "corrupted").otherwise("download_failed").alias("status"), F.lit("FD").alias("error_code"), F.lit("k2").alias("change_key")
     )
     return incremental.failed(known, bad).select("doc_id", "status", "change_key", "attempts")
