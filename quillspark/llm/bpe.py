@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import sys
 from collections.abc import Callable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import slices
+from quillspark.llm.common import slices, tidy
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,7 +46,7 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.base = max(ranks.values()) + 1
         pairs = [
             (ranks[b[:i]] * self.base + ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks
@@ -56,7 +57,7 @@ class MergeReplay:
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank that each pair makes, -1 if none. ``right`` is -1 where there is no neighbour."""
-        keys = np.where(right < 0, -2, left * self.base + right)
+        keys = np.where(right < 0, -2, left.astype(np.int64) * self.base + right)
         at = np.searchsorted(self.pair, keys)
         return np.where(self.pair[at] == keys, self.made[at], -1)
 
@@ -66,8 +67,8 @@ class MergeReplay:
         ends = np.cumsum(n)
         token = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         size = len(token)
-        token = np.append(token, -1)  # a sink that stands after the last token of each piece
-        after, before = np.arange(1, size + 2), np.arange(-1, size)
+        token = np.append(token, np.int32(-1))  # a sink that stands after the last token of each piece
+        after, before = np.arange(1, size + 2, dtype=np.int32), np.arange(-1, size, dtype=np.int32)
         after[ends[n > 0] - 1] = size
         before[(ends - n)[n > 0]] = size
         after[size] = before[size] = size
@@ -117,42 +118,45 @@ class MergeReplay:
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+class Pieces(dict):
+    """Pieces by number, in the order of their coming."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class Codec:
-    """Encodes and decodes texts; keeps the pieces it has seen, ``max_pieces`` at most at a time."""
+    """Encodes and decodes texts; keeps the pieces it has seen, until they are over ``max_pieces``."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 250_000):
         import regex
 
         self.engine, self.max_pieces = MergeReplay(ranks), max_pieces
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.coded = Pieces(), []
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.max_pieces:
-            self.known.clear()
-        parts = [self.split(t) for t in texts]
-        new: set[str] = set()
-        for p in parts:
-            new.update(p)
-        new.difference_update(self.known)
-        rest = []
-        for piece in new:
-            raw = piece.encode("utf-8", "surrogatepass")
-            if raw in self.engine.ranks:
-                self.known[piece] = self.engine.ranks[raw].to_bytes(4, "little")
-            else:
-                rest.append((piece, raw))
-        self.known.update(zip([p for p, _ in rest], self.engine.replay([r for _, r in rest]), strict=True))
+        if len(self.pieces) > self.max_pieces:
+            self.forget()
+        parts = [np.fromiter(map(self.pieces.__getitem__, self.split(t)), np.int32) for t in texts]
+        new = [p.encode("utf-8", "surrogatepass") for p in islice(self.pieces, len(self.coded), None)]
+        whole = [self.engine.ranks.get(p) for p in new]
+        merged = iter(self.engine.replay([p for p, r in zip(new, whole, strict=True) if r is None]))
+        self.coded += [next(merged) if r is None else r.to_bytes(4, "little") for r in whole]
         for p in parts:
-            yield b"".join(map(self.known.__getitem__, p))
+            yield b"".join(map(self.coded.__getitem__, p.tolist()))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.engine.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 32_000_000
+SLICE_BYTES = 16_000_000
 
 
 def _codec(ranks, pattern: str) -> Codec:
@@ -182,10 +186,11 @@ def tokenized(
                 made = [derive(ids, codec) for ids in codec.encode(texts)]
                 columns = [pa.array(list(x)) for x in zip(*made, strict=True)] if made else []
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *columns], names=[*kept, *names])
+        codec.forget()
 
     for f in fields.split(","):
         schema = schema.add(*f.split(":"))
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*kept, text).mapInArrow(tidy(run), schema)
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -204,7 +209,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
             made = [None if x is None else b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(made, pa.binary())], names=[*kept, out])
 
-    return df.select(*kept, ids).mapInArrow(run, T.StructType([*df.select(*kept).schema, T.StructField(out, T.BinaryType())]))
+    return df.select(*kept, ids).mapInArrow(tidy(run), T.StructType([*df.select(*kept).schema, T.StructField(out, T.BinaryType())]))
 
 
 def default_vocabulary() -> tuple[dict[bytes, int], str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,3 +62,21 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         total += n
     if batch.num_rows > start:
         yield batch.slice(start)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python processes of executors outlive the stage that filled them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` over batches, and release() after the last."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import crc_mod, slices
+from quillspark.llm.common import crc_mod, slices, tidy
 
 UND = "und"
 SIZES = (3, 4)
@@ -176,7 +176,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(names), pa.array(scores)], names=[*kept, "lang_pred", "score"])
 
     fields = [*df.select(*kept).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return df.select(*kept, text).mapInArrow(run, T.StructType(fields))
+    return df.select(*kept, text).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

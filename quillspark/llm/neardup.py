@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import WORD, slices, stored
+from quillspark.llm.common import WORD, slices, stored, tidy
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -172,7 +172,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {kind}, node binary, keys array<long>, sketch binary")
+    return docs.select("doc_id", "node", "text").mapInArrow(tidy(run), f"doc_id {kind}, node binary, keys array<long>, sketch binary")
 
 
 def _forest(ids: list[bytes], sketches: np.ndarray) -> list[tuple[bytes, bytes]]:
@@ -280,7 +280,7 @@ def expanded(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 made = [units(*shingles(t, hashes))[0].view(np.int64) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "units"])
 
-    rows = docs.where("node IS NOT NULL").select("node", "text", _slots("node", len(words) * 64).alias("slots")).mapInArrow(run, "node binary, units array<long>")
+    rows = docs.where("node IS NOT NULL").select("node", "text", _slots("node", len(words) * 64).alias("slots")).mapInArrow(tidy(run), "node binary, units array<long>")
     return rows.groupBy("node").agg(F.first("units").alias("units"))
 
 

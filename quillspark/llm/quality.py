@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import WORD, null_safe_key, slices, stored
+from quillspark.llm.common import WORD, null_safe_key, slices, stored, tidy
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -110,7 +110,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         alpha, upper = np.unpackbits(np.frombuffer(tables.value, np.uint8)).astype(bool).reshape(2, -1)
         for whole in batches:
-            for b in slices(whole, text, 4_000_000):
+            for b in slices(whole, text, 1_000_000):
                 texts = [t or "" for t in b.column(text).to_pylist()]
                 raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
                 ends = np.cumsum([0, *map(len, texts)])
@@ -143,7 +143,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 
     types = [T.LongType()] * 5 + [T.BooleanType(), T.ArrayType(T.DoubleType())]
     fields = [*df.select(*kept).schema, *(T.StructField(n, t) for n, t in zip(made, types, strict=True))]
-    return df.select(*kept).mapInArrow(run, T.StructType(fields))
+    return df.select(*kept).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def _groups(vectors: DataFrame, min_group: int) -> DataFrame:

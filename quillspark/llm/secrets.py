@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import scratch
+from quillspark.llm.common import scratch, tidy
 
 
 def _either_case(word: str) -> str:
@@ -120,7 +120,7 @@ def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RUL
 def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger at ``ledger_path`` has not seen, append it, and return the ledger."""
     spark = versions.sparkSession
-    fresh = unseen(versions, read_ledger(spark, ledger_path), rules).mapInArrow(_scan(rules), LEDGER)
+    fresh = unseen(versions, read_ledger(spark, ledger_path), rules).mapInArrow(tidy(_scan(rules)), LEDGER)
     fresh.write.mode("append").parquet(ledger_path)
     return read_ledger(spark, ledger_path)
 

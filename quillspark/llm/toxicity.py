@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import crc_mod, slices
+from quillspark.llm.common import crc_mod, slices, tidy
 
 TOKEN = r"\w+"
 QUOTED = "\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|‘[^’\n]*’"
@@ -295,7 +295,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", hits: str | None = N
     schema = T.StructType([*df.select(*kept).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     if hits:
         schema = T.StructType([*schema, T.StructField(hits, T._parse_datatype_string(HITS))])
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*kept, text).mapInArrow(tidy(run), schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
