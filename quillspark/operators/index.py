@@ -46,7 +46,9 @@ def word(text: str, column: str = "folded") -> Phrase | None:
 def with_tokens(chunks: DataFrame, text: str = "text", norm: Column | None = None) -> DataFrame:
     """``chunks`` with token arrays ``folded`` and ``norm`` and their common length."""
     none = F.array().cast("array<string>")
-    out = chunks.withColumn("folded", tx.tokens(tx.fold(F.coalesce(F.col(text), F.lit(""))))).withColumn("norm", norm if norm is not None else none)
+    # a generator of one row: the optimiser would else fold the text anew for each phrase that is counted
+    found = F.explode(F.array(tx.tokens(tx.fold(F.coalesce(F.col(text), F.lit(""))))))
+    out = chunks.drop("folded").select("*", found.alias("folded")).withColumn("norm", norm if norm is not None else none)
     return out.withColumn("n_tokens", (F.size("folded") + F.size("norm")).cast("long"))
 
 
