@@ -13,11 +13,12 @@ words of reporting, it counts less, beside words of address more. A logistic
 regression over the hits of a text gives the score.
 
 Fitting takes at most ``max_rows`` labelled rows, those with the least hash of
-their id; only their ids and labels are broadcast, so no text is shuffled.
-Scoring covers whole texts in Arrow batches.
+their id; their ids and labels are broadcast, and their distinct texts, by hash,
+are the training rows. No other text is shuffled. Scoring covers whole texts in
+Arrow batches.
 
-Defined cases: a null or empty text has no hits; repeated labels of an id count
-once, as toxic if any is; null labels teach nothing; with one class or none the
+Defined cases: a null or empty text has no hits; repeated labels of an id or of
+equal texts count once, as toxic if any is; null labels teach nothing; with one class or none the
 score is that class's (0 without labels); other columns are kept.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import crc_mod, slices, tidy
+from quillspark.llm.common import crc_mod, slices, stored, tidy
 
 TOKEN = r"\w+"
 QUOTED = "\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|‘[^’\n]*’"
@@ -210,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     few = few.sparkSession.createDataFrame(few.collect() or [], few.schema)  # at most max_rows ids and labels
-    train = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
+    train = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy(F.md5("text").alias("node"))
+    train = stored(train.agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxicity-train")
 
     def count(batches):
         for b in batches:
@@ -229,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
         return Model([], [], [30.0 if only else -30.0, *[0.0] * FEATURES])
     n_toxic, n_clean = totals[""].toxic, totals[""].clean
     words = seen.count()
-    # more than eight times the odds, at most five times max_terms words: copies are still among them
+    # more than eight times the odds, at most five times max_terms words: near copies are still among them
     ratio = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * ((n_clean + 1) / (n_toxic + 1))
     rows = top.where((ratio > 8) & (F.col("word") != "")).orderBy(F.desc("toxic"), "clean", "word").limit(5 * max_terms).collect()
     odds = {r.word: o for r in rows if (o := _significant(r.toxic, r.clean, n_toxic, n_clean, words))}

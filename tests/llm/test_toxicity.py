@@ -80,6 +80,16 @@ def test_copies_teach_nothing(spark, folder):
     assert not any(t.endswith("q") for t in model.terms)
 
 
+def test_copies_remove_nothing(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    want = toxicity.fit(docs, labels)
+    text = "a blorgface b snarkwit c grumpfoo d"
+    once, often = (docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000 + i, text) for i in range(n)], docs.select("doc_id", "text").schema)) for n in (1, 400))
+    labels = labels.select("doc_id", "toxic").unionByName(spark.createDataFrame([(5000 + i, 1) for i in range(400)], "doc_id long, toxic int"))
+    got = toxicity.fit(often, labels)
+    assert set(want.terms) <= set(got.terms) and got == toxicity.fit(once, labels)
+
+
 def test_no_labels_or_one_class(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for labels, want in (([], 0), ([(1, 1)], 1), ([(1, 0)], 0)):
