@@ -19,7 +19,10 @@ Signatures are cut into bands. Texts that share a band are candidates:
   larger is taken in blocks, in the order of signatures, each joined to the
   one before.
 
-Candidates are checked exactly on their shingles. Classes are the connected
+Candidates are checked exactly on their shingles. As a forest's edge may fail
+where another pair of its bucket would not, the buckets of up to ``LARGE`` that
+still hold several components are completed: every plausible pair across
+components is checked exactly, unless the two are connected by then. Classes are the connected
 components of the links that remain, by alternating large and small stars.
 Equal texts are one node throughout and are never paired.
 
@@ -35,6 +38,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -175,6 +179,11 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "node", "text").mapInArrow(tidy(run), f"doc_id {kind}, node binary, keys array<long>, sketch binary")
 
 
+def _estimate(sketches: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The similarity of each sketch to one, as their equal bytes suggest."""
+    return (np.count_nonzero(sketches == own, axis=1) / SKETCH - 1 / 256) / (1 - 1 / 256)
+
+
 def _forest(ids: list[bytes], sketches: np.ndarray) -> list[tuple[bytes, bytes]]:
     """Edges of a maximum spanning forest under estimated similarity, those that are plausible (Prim's algorithm)."""
     n = len(ids)
@@ -185,7 +194,7 @@ def _forest(ids: list[bytes], sketches: np.ndarray) -> list[tuple[bytes, bytes]]
         left, best, source = left[keep], best[keep], source[keep]
         if not len(left):
             return edges
-        near = (np.count_nonzero(sketches[left] == sketches[at], axis=1) / SKETCH - 1 / 256) / (1 - 1 / 256)
+        near = _estimate(sketches[left], sketches[at])
         closer = near > best
         best[closer], source[closer] = near[closer], at
         i = int(best.argmax())
@@ -222,11 +231,16 @@ def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, keys, sketch), one row per node, to distinct candidate pairs a < b."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(node, keys, sketch), one row per node, to (node, band, key, size) of the buckets that nodes share."""
     entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    entries = stored(entries.withColumn("size", size).where("size > 1"), "neardup-entries")
+    return stored(entries.withColumn("size", size).where("size > 1"), "neardup-entries")
+
+
+def candidates(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What buckets() gives to distinct candidate pairs a < b."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
     small = entries.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("n"))
     pairs = F.flatten(
         F.transform("n", lambda a, i: F.transform(F.slice("n", i + 2, F.size("n")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
@@ -334,6 +348,82 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _cell_links(rows: pa.Table, threshold: float) -> list[tuple[bytes, bytes, float]]:
+    """Links that connect the components of a cell's strays to those of its inside."""
+    nodes, number = rows["node"].to_pylist(), {}
+    label = np.array([number.setdefault(r, len(number)) for r in rows["root"].to_pylist()])
+    sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(nodes), SKETCH)
+    units = rows["units"].combine_chunks()
+    sizes = pc.list_value_length(units).to_numpy(zero_copy_only=False)
+    flat, ends = units.flatten().to_numpy(), np.cumsum(sizes)
+    inside, out = np.flatnonzero(rows["inside"].to_numpy()), []
+    for x in np.flatnonzero(rows["stray"].to_numpy()).tolist():
+        others = inside[label[inside] != label[x]]
+        near = _estimate(sketches[others], sketches[x])
+        others = others[np.argsort(-near, kind="stable")][: np.count_nonzero(near >= PLAUSIBLE)]
+        own, step = np.sort(flat[ends[x] - sizes[x] : ends[x]]), 8
+        while len(others):
+            some, others, step = others[:step], others[step:], min(4 * step, 256)
+            theirs = np.concatenate([flat[ends[y] - sizes[y] : ends[y]] for y in some.tolist()])
+            same = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            common = np.add.reduceat(same, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            similarity = common / (len(own) + sizes[some] - common)
+            for y, s in zip(some.tolist(), similarity.tolist(), strict=True):
+                if s >= threshold and label[y] != label[x]:
+                    out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y]), s))
+                    label[label == label[y]] = label[x]
+            others = others[label[others] != label[x]]
+    return out
+
+
+def completed(entries: DataFrame, nodes: DataFrame, docs: DataFrame, links: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The links (a, b, similarity) that buckets with forests lack, so that none holds a plausible pair across components unchecked.
+
+    The nodes outside a bucket's largest component, its strays, are compared with
+    all its nodes, in cells of about LARGE of each.
+    """
+    rooted = entries.where((F.col("size") > SMALL) & (F.col("size") <= LARGE)).select("key", "node").join(components(links), "node", "left")
+    rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks, chunks = (F.ceil(n / F.lit(LARGE)).alias(k) for n, k in ((F.col("n"), "blocks"), (F.col("n") - F.col("main.n"), "chunks")))
+    rows = rooted.join(parts.select("key", F.col("main.root").alias("main"), blocks, chunks), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), "chunks"))
+    cell = lambda c, b: F.struct(c.alias("c"), b.alias("b"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: cell(c, F.col("block")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: cell(F.col("chunk"), b))
+    rows = rows.withColumn("stray", F.col("root") != F.col("main"))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("stray"), F.array_union(met, meets)).otherwise(met)))
+    rows = rows.select(
+        F.xxhash64("key", "at.c", "at.b").alias("cell"), "node", "root", (F.col("stray") & (F.col("at.c") == F.col("chunk"))).alias("stray"), (F.col("at.b") == F.col("block")).alias("inside")
+    )
+    rows = stored(rows, "neardup-cells")
+    sets = stored(expanded(docs.select("node", "text"), rows.select("node").distinct()), "neardup-units")
+
+    def run(batches):
+        at, kept = None, []
+        for b in batches:
+            cells = b.column("cell").to_numpy()
+            starts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            for i, j in zip(starts, starts[1:]):
+                if kept and i < j and cells[i] != at:
+                    yield _links(_cell_links(pa.Table.from_batches(kept), threshold))
+                    kept = []
+                if i < j:
+                    at = cells[i]
+                    kept.append(b.slice(i, j - i))
+        if kept:
+            yield _links(_cell_links(pa.Table.from_batches(kept), threshold))
+
+    rows = rows.join(nodes.select("node", "sketch"), "node").join(sets, "node").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(tidy(run), "a binary, b binary, similarity double")
+
+
+def _links(found: list[tuple[bytes, bytes, float]]) -> pa.RecordBatch:
+    a, b, s = zip(*found) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+
+
 def nodes_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with ``node``, which equal texts share."""
     return docs.select("doc_id", F.unhex(F.md5("text")).alias("node"), "text")
@@ -345,8 +435,11 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     rows = stored(signed(named), "neardup-signatures")
     nodes = rows.where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "neardup-nodes")
-    pairs = stored(candidates(nodes), "neardup-pairs")
-    return rows.select("doc_id", "node", F.col("keys").isNotNull().alias("worded")), verified(pairs, named, threshold)
+    entries = buckets(nodes)
+    pairs = stored(candidates(entries, nodes), "neardup-pairs")
+    links = stored(verified(pairs, named, threshold), "neardup-links")
+    links = links.unionByName(completed(entries, nodes, named, links, threshold))
+    return rows.select("doc_id", "node", F.col("keys").isNotNull().alias("worded")), links
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -99,6 +99,24 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in nd.classes(df).collect()} == {i: 0 if i < 1000 else 1000 for i in texts}
 
 
+def star(n, seed):
+    """A text and n variants, each of a similarity of 126 / 156 to it and mostly under 0.7 to each other."""
+    r = random.Random(seed)
+    base, texts = [f"v{i}" for i in range(145)], {}
+    for i in range(n + 1):
+        out = list(base)
+        for p in r.sample(range(5, 140, 5), 3) if i else ():
+            out[p] = f"w{i}.{p}"
+        texts[i] = " ".join(out)
+    return texts
+
+
+def test_a_false_edge_does_not_replace_a_true_one(spark):
+    texts = star(1000, 1)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.class_id for x in nd.classes(df).collect()} == {0}
+
+
 def test_components_of_long_chains(spark):
     ids = list(range(200))
     random.Random(1).shuffle(ids)
