@@ -20,9 +20,10 @@ Signatures are cut into bands. Texts that share a band are candidates:
   one before.
 
 Candidates are checked exactly on their shingles. As a forest's edge may fail
-where another pair of its bucket would not, the buckets of up to ``LARGE`` that
-still hold several components are completed: every plausible pair across
-components is checked exactly, unless the two are connected by then. Classes are the connected
+where another pair of its bucket would not, and blocks do not meet, buckets of
+any size over ``SMALL`` that still hold several components are completed: every
+plausible pair across components is checked exactly, unless the two are
+connected by then. Classes are the connected
 components of the links that remain, by alternating large and small stars.
 Equal texts are one node throughout and are never paired.
 
@@ -382,7 +383,7 @@ def completed(entries: DataFrame, nodes: DataFrame, docs: DataFrame, links: Data
     The nodes outside a bucket's largest component, its strays, are compared with
     all its nodes, in cells of about LARGE of each.
     """
-    rooted = entries.where((F.col("size") > SMALL) & (F.col("size") <= LARGE)).select("key", "node").join(components(links), "node", "left")
+    rooted = entries.where(F.col("size") > SMALL).select("key", "node").join(components(links), "node", "left")
     rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")

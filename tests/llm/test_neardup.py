@@ -117,6 +117,13 @@ def test_a_false_edge_does_not_replace_a_true_one(spark):
     assert {x.class_id for x in nd.classes(df).collect()} == {0}
 
 
+def test_links_near_the_threshold_in_buckets_over_large(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LARGE", 40)
+    monkeypatch.setattr(nd, "CARRY", 8)
+    df = spark.createDataFrame(list(star(400, 2).items()), "doc_id long, text string")
+    assert {x.class_id for x in nd.classes(df).collect()} == {0}
+
+
 def test_components_of_long_chains(spark):
     ids = list(range(200))
     random.Random(1).shuffle(ids)
