@@ -86,10 +86,11 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """Final messages to one row per conversation: conv_id, formatted, loss_spans.
+    """Final messages to one row per conversation: conv_id, formatted, loss_spans, loss_mask.
 
     ``loss_spans`` are the code points [start, end) of the assistant's texts in
-    ``formatted``, in order.
+    ``formatted``, in order; ``loss_mask`` has the same as (message, start, end)
+    with the message's number and offsets in what stands after its OPEN.
     """
     shown = messages.select(
         "conv_id",
@@ -102,44 +103,79 @@ def render(messages: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("head") + F.length("body") + len(CLOSE)
     placed = shown.withColumn("begin", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
-    piece = F.struct("begin", F.concat("head", "body", F.lit(CLOSE)).alias("shown"), "role", F.length("body").alias("n"))
-    return placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces")).select(
+    piece = F.struct(
+        "begin",
+        F.concat("head", "body", F.lit(CLOSE)).alias("shown"),
+        (F.col("role") == "assistant").alias("learned"),
+        (F.length("head") - len(OPEN)).alias("ahead"),
+        F.length("body").alias("n"),
+    )
+    pieces = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    numbered = F.transform("pieces", lambda p, i: F.struct(p.learned.alias("learned"), i.alias("message"), p.ahead.alias("start"), (p.ahead + p.n).alias("end")))
+    return pieces.select(
         "conv_id",
         F.array_join(F.col("pieces.shown"), "").alias("formatted"),
         F.transform(
-            F.filter("pieces", lambda p: p.role == "assistant"),
+            F.filter("pieces", lambda p: p.learned),
             lambda p: F.struct(p.begin.alias("start"), (p.begin + p.n).alias("end")),
         ).alias("loss_spans"),
+        F.transform(
+            F.filter(numbered, lambda p: p.learned), lambda p: F.struct(p.message.alias("message"), p.start.alias("start"), p.end.alias("end"))
+        ).alias("loss_mask"),
     )
 
 
+#: A role up to its line's end. Possessive, so that the engine loops where it would else recurse once per character.
+_HEAD = r"(?s)^[^\\\n]*+(?:\\.[^\\\n]*+)*+\n"
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """What render() wrote, parsed: conv_id, turns array of (role, text), loss (unescaped text under the mask)."""
     raw = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 2_000_000_000)
-    head = r"(?s)^((?:[^\\\n]|\\.)*)\n"
-    turns = F.transform(
-        raw,
-        lambda t: F.struct(
-            unescape(F.regexp_extract(t, head, 1)).alias("role"),
-            unescape(F.regexp_replace(F.regexp_replace(t, head, ""), r"<\|im_end\|>\n$", "")).alias("text"),
-        ),
-    )
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s.start + 1, s.end - s.start)))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), F.array_join(loss, "").alias("loss"))
+    cut = F.transform(raw, lambda t: F.struct(t.alias("t"), F.regexp_extract(t, _HEAD, 0).alias("head")))
+
+    def turn(p: Column) -> Column:
+        role = F.left(p.head, F.length(p.head) - 1)
+        text = F.substr(p.t, F.length(p.head) + 1, F.length(p.t) - F.length(p.head) - len(CLOSE))
+        return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
+
+    parsed = formatted.select("conv_id", "formatted", "loss_mask", raw.alias("raw"), F.transform(cut, turn).alias("turns"))
+    loss = F.transform("loss_mask", lambda s: unescape(F.substr(F.get("raw", s.message), s.start + 1, s.end - s.start)))
+    return parsed.select("conv_id", "formatted", "turns", F.array_join(loss, "").alias("loss"))
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the logs of a chat that led to them.
+
+    A text was streamed in two deltas, or written in part and edited, or drafted,
+    regenerated and streamed again, by turn. Rows of one turn are told one after
+    the other, by role and text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    ahead, behind = F.left(text, half), F.substr(text, half + 1, F.length(text))
+    event = lambda kind, said, role=None: F.struct(F.lit(kind).alias("kind"), (F.col("role") if role else F.lit(None).cast("string")).alias("role"), said.alias("text"))
+    logs = {
+        0: [event("message", ahead, True), event("delta", behind)],
+        1: [event("message", behind, True), event("edit", text)],
+        2: [event("message", behind, True), event("regenerate", F.lit("")), event("delta", ahead), event("delta", behind)],
+    }
+    style = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3))
+    log = F.when(style == 0, F.array(*logs[0])).when(style == 1, F.array(*logs[1])).otherwise(F.array(*logs[2]))
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text))
+    told = rows.withColumn("place", place).select("conv_id", "turn", "place", F.posexplode(log).alias("step", "e"))
+    return told.select("conv_id", "turn", (F.col("place").cast("long") * 4 + F.col("step")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, formatted and read back."""
+    """All conversations and conversation -1, told as logs, reconstructed, formatted and read back."""
     tricky = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(
         "SELECT conv_id, turn, role, text FROM VALUES (-1L, 0L, 'user', :t), (-1L, 1L, 'assistant', :t) AS v(conv_id, turn, role, text)",
         args={"t": tricky},
     )
-    events = rows.unionByName(extra).select(
-        "conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
-    back = read_back(render(reconstruct(events)))
+    back = read_back(render(reconstruct(told(rows.unionByName(extra)))))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select(
         "conv_id",
