@@ -3,16 +3,22 @@
 Each text gives statistics (words, symbols, repeated lines and phrases) and a
 vector of six transformed shares. Per language and source, the location and
 scatter of the vectors are estimated by minimum covariance determinant: from
-medians and absolute deviations, concentration steps keep the ``SHARE`` of rows
-with least Mahalanobis distance and estimate again. Rows whose distance lies
-beyond a quantile of the chi-squared distribution are rejected, besides those
-that fail the base rules.
-
-All rows of a group enter its estimate. A step is two aggregates with map-side
-combining (an approximate quantile of distances, then counts, sums and
-products), so a source with a third of all rows costs no task more than its
-own splits. Estimates are one row per group, kept as a table; groups under
-``min_group`` rows are pooled by language, and then overall.
+four deterministic starts, concentration steps keep the ``SHARE`` of rows with
+least Mahalanobis distance and estimate again; after ``TRIALS`` steps the start
+of least determinant goes on until its determinant settles. Rows whose distance
+lies beyond a quantile of the chi-squared distribution are rejected, besides
+those that fail the base rules.
+
+All rows of a group enter its estimate, however small it is. Languages and the
+whole table are groups too: a source's estimate is a mixture of its own with
+``PRIOR`` rows like its language's, a language's with as many like all's, so
+that estimates of few rows lean on others by degrees.
+
+A step is one aggregate with map-side combining: rows fall into bins by the
+logarithm of their distance, and counts, sums and products of each bin tell
+both where SHARE is reached and the moments up to there. So a source with a
+third of all rows costs no task more than its own splits. Estimates are one row
+per group, kept as a table, and broadcast while they are few.
 
 Defined cases: a null text has no words and fails the base rules, as does an
 empty one; null languages and sources are values of their own; repeated rows
@@ -41,7 +47,9 @@ BLANKS = " \t\n\v\f\r"
 FLOORS = (0.15, 0.15, 0.12, 0.12, 0.2, 0.2)
 P = len(FLOORS)
 SHARE = 0.75
-STEPS = 6
+TRIALS = 2  # steps of every start before the one of least determinant goes on
+STEPS, TOLERANCE = 20, 1e-4  # steps at most, and the least decrease of the determinant's logarithm for another one
+PRIOR = 50.0  # rows of the language that count beside those of a source, and rows of all beside those of a language
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -146,61 +154,198 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*kept).mapInArrow(tidy(run), T.StructType(fields))
 
 
-def _groups(vectors: DataFrame, min_group: int) -> DataFrame:
-    """(lkey, skey) to the group whose estimate counts for it: its own, its language's small sources, or all small ones."""
-    sizes = vectors.groupBy("lkey", "skey").agg(F.count(F.lit(1)).alias("n"))
-    own = sizes.withColumn("grp", F.when(F.col("n") >= min_group, F.concat_ws("|", F.lit("source"), "lkey", "skey")))
-    rest = F.sum(F.when(F.col("grp").isNull(), F.col("n"))).over(Window.partitionBy("lkey"))
-    by_lang = F.when(rest >= min_group, F.concat_ws("|", F.lit("lang"), "lkey")).otherwise("all")
-    return own.select("lkey", "skey", F.coalesce("grp", by_lang).alias("grp"))
+X = [f"x{i}" for i in range(P)]
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+#: Aggregated in each bin: rows, deviations from the location so far, and their products.
+_MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS)]
+BINS_PER_OCTAVE = 16
+_REAL, _REALS = T.DoubleType(), T.ArrayType(T.DoubleType())
+#: (mu, cov, prec, logdet, n): location, scatter, inverse and determinant of the scatter with floors, rows of the group.
+_STATE = T.StructType([T.StructField(c, t) for c, t in (("mu", _REALS), ("cov", _REALS), ("prec", _REALS), ("logdet", _REAL), ("n", _REAL))])
 
 
 def distance(vec: Column, mu: Column, prec: Column) -> Column:
     """Squared Mahalanobis distance."""
+    return _distance([vec[i] - mu[i] for i in range(P)], prec)
+
+
+def _distance(off: list[Column], prec: Column) -> Column:
     parts = []
     for i in range(P):
-        row = sum((prec[i * P + j] * (vec[j] - mu[j]) for j in range(P)), F.lit(0.0))
-        parts.append((vec[i] - mu[i]) * row)
+        row = sum((prec[i * P + j] * off[j] for j in range(P)), F.lit(0.0))
+        parts.append(off[i] * row)
     return sum(parts, F.lit(0.0))
 
 
-def _estimate(n: pd.Series, sums: pd.Series, products: pd.Series) -> pd.DataFrame:
-    """Counts, sums and products of the rows that were kept, to location and inverse scatter."""
-    mu = np.stack(sums) / n.to_numpy()[:, None]
-    cov = np.zeros((len(n), P, P))
-    upper = np.triu_indices(P)
-    cov[:, upper[0], upper[1]] = np.stack(products) / n.to_numpy()[:, None]
-    lower = np.tril_indices(P, -1)
-    cov[:, lower[0], lower[1]] = cov.transpose(0, 2, 1)[:, lower[0], lower[1]]
-    cov -= mu[:, :, None] * mu[:, None, :]
-    prec = np.linalg.inv(CONSISTENCY * cov + np.diag(np.square(FLOORS)))
-    return pd.DataFrame({"mu": list(mu), "prec": list(prec.reshape(len(n), -1))})
+def _moments(values: list[Column], prefix: str = "") -> list[Column]:
+    """Sums and products of the values, as columns of an aggregate."""
+    sums = [F.sum(v).alias(f"{prefix}s{i}") for i, v in enumerate(values)]
+    return [*sums, *(F.sum(values[i] * values[j]).alias(f"{prefix}p{i}{j}") for i, j in _PAIRS)]
 
 
-def estimates(vectors: DataFrame, min_group: int = 200) -> DataFrame:
-    """(lkey, skey, vec) rows to (lkey, skey, mu, prec), by minimum covariance determinant."""
-    estimate = F.pandas_udf(_estimate, "struct<mu:array<double>,prec:array<double>>")
-    groups = stored(_groups(vectors, min_group), "quality-groups")
-    rows = vectors.join(groups, ["lkey", "skey"]).select("grp", "vec")
-    x = [F.col("vec")[i] for i in range(P)]
-    middle = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(v, 0.5, 10_000) for v in x)).alias("mu"))
-    off = rows.join(middle, "grp").groupBy("grp", "mu").agg(
-        F.array(*(F.percentile_approx(F.abs(v - F.col("mu")[i]), 0.5, 10_000) for i, v in enumerate(x))).alias("mad")
+def _bin(d: Column) -> Column:
+    """Distances in steps of a sixteenth of an octave."""
+    return F.floor(F.log2(F.greatest(d, F.lit(1e-9))) * BINS_PER_OCTAVE).cast("int")
+
+
+def _square(products: np.ndarray) -> np.ndarray:
+    out = np.zeros((P, P))
+    for (i, j), v in zip(_PAIRS, products, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def lifted(cov: np.ndarray) -> np.ndarray:
+    """The scatter with no variance under its floor, and correlations a thousandth nearer to zero, so that few rows have an inverse too."""
+    size = np.diag(cov)
+    return cov * (1 - 1e-3) + np.diag(np.maximum(1e-3 * size, np.square(FLOORS) - (1 - 1e-3) * size))
+
+
+def _state(mu: np.ndarray, cov: np.ndarray, n: float) -> dict:
+    full = lifted(cov)
+    return {"mu": mu.tolist(), "cov": cov.ravel().tolist(), "prec": np.linalg.inv(full).ravel().tolist(), "logdet": float(np.linalg.slogdet(full)[1]), "n": n}
+
+
+def nearest(bins: list, share: float, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Location and scatter (maximum likelihood) of the ``share`` of rows in the lowest bins, and the number of all rows.
+
+    The bin at the border counts with the part of its rows that is wanted.
+    """
+    rows = np.array([[b[m] for m in ("bin", *_MOMENTS)] for b in bins], float)
+    rows = rows[np.argsort(rows[:, 0])][:, 1:]
+    total = rows[:, 0].sum()
+    before = np.cumsum(rows[:, 0]) - rows[:, 0]
+    weight = np.clip((share * total - before) / rows[:, 0], 0.0, 1.0)
+    kept = weight @ rows
+    off = kept[1 : P + 1] / kept[0]
+    return mu + off, _square(kept[P + 1 :] / kept[0]) - np.outer(off, off), total
+
+
+def _standing(rows: DataFrame, model: DataFrame, keys: list[str], how: str = "inner", most: int = 20_000, salts: int = 64) -> DataFrame:
+    """``rows`` joined to the stored ``model``: broadcast up to ``most`` rows of it, else on a salt, so that no key is one task's."""
+    if model.count() <= most:
+        return rows.join(F.broadcast(model), keys, how)
+    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, mu, cov, prec, logdet, n): four deterministic starts for each group.
+
+    From medians and median absolute deviations: the nearest half and the
+    nearest SHARE by them, the correlations of tanh of standardised values, and
+    those of their spatial signs.
+    """
+    middle = stored(rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, 10_000) for x in X)).alias("mid")), "quality-middle")
+    off = _standing(rows, middle, ["grp"])
+    spread = [F.percentile_approx(F.abs(F.col(x) - F.col("mid")[i]), 0.5, 10_000) for i, x in enumerate(X)]
+    scale = F.array(*(F.greatest(1.4826 * v, F.lit(f)) for v, f in zip(spread, FLOORS, strict=True)))
+    wide = stored(off.groupBy("grp").agg(F.first("mid").alias("mid"), scale.alias("scale")), "quality-scale")
+    z = _standing(rows, wide, ["grp"])
+    x = [F.col(c) - F.col("mid")[i] for i, c in enumerate(X)]
+    z = z.select("grp", *(v.alias(f"s{i}") for i, v in enumerate(x)), *((v / F.col("scale")[i]).alias(f"z{i}") for i, v in enumerate(x)))
+    squares = sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(0.0))
+    z = z.withColumn("d", squares)
+    norm = F.sqrt(F.greatest("d", F.lit(1e-12)))
+    flat = [F.tanh(f"z{i}") for i in range(P)], [F.col(f"z{i}") / norm for i in range(P)]
+    binned = z.groupBy("grp", _bin(F.col("d")).alias("bin")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *_moments([F.col(f"s{i}") for i in range(P)]), *_moments(flat[0], "t"), *_moments(flat[1], "u")
     )
-    scale = [F.greatest(F.col("mad")[i] * 1.4826, F.lit(FLOORS[i])) for i in range(P)]
-    diagonal = F.array(*((1 / scale[i] ** 2 if i == j else F.lit(0.0)) for i in range(P) for j in range(P)))
-    model = stored(off.select("grp", "mu", diagonal.alias("prec")), "quality-start")
+    columns = ["bin", *_MOMENTS, *(f"{k}{m}" for k in "tu" for m in _MOMENTS[1:])]
+    held = binned.groupBy("grp").agg(F.collect_list(F.struct(*columns)).alias("bins"))
+
+    @F.pandas_udf(T.ArrayType(_STATE))
+    def begin(mid: pd.Series, scale: pd.Series, bins: pd.Series) -> pd.Series:
+        out = []
+        for m, s, b in zip(mid, scale, bins, strict=True):
+            m, s, found = np.array(m), np.array(s), []
+            for share in (0.5, SHARE):
+                mu, cov, n = nearest(b, share, m)
+                found.append(_state(mu, cov, n))
+            for k in "tu":
+                total = np.array([[x[f"{k}{c}"] for c in _MOMENTS[1:]] for x in b], float).sum(axis=0) / n
+                own = _square(total[P:]) - np.outer(total[:P], total[:P])
+                size = np.sqrt(np.maximum(np.diag(own), 1e-12))
+                found.append(_state(m, own / np.outer(size, size) * np.outer(s, s), n))
+            out.append(found)
+        return pd.Series(out)
+
+    made = held.join(wide, "grp").select("grp", F.posexplode(begin("mid", "scale", "bins")).alias("start", "m"))
+    return stored(made.select("grp", "start", "m.*"), "quality-start")
+
+
+def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """A concentration step of every (grp, start): one aggregate with map-side combining over all rows."""
+    off = [F.col(c) - F.col("mu")[i] for i, c in enumerate(X)]
+    far = _standing(rows, model.select("grp", "start", "mu", "prec"), ["grp"])
+    far = far.select("grp", "start", "prec", *(v.alias(f"s{i}") for i, v in enumerate(off)))
+    off = [F.col(f"s{i}") for i in range(P)]
+    binned = far.groupBy("grp", "start", _bin(_distance(off, F.col("prec"))).alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("n"), *_moments(off))
+    held = binned.groupBy("grp", "start").agg(F.collect_list(F.struct("bin", *_MOMENTS)).alias("bins"))
+
+    @F.pandas_udf(_STATE)
+    def again(mu: pd.Series, bins: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_state(*nearest(b, SHARE, np.array(m))) for m, b in zip(mu, bins, strict=True)], columns=_STATE.names)
+
+    old = model.select("grp", "start", "mu", F.col("logdet").alias("was"))
+    made = held.join(old, ["grp", "start"]).select("grp", "start", again("mu", "bins").alias("m"), "was")
+    return stored(made.select("grp", "start", "m.*", "was"), "quality-step")
+
+
+def _least(model: DataFrame) -> DataFrame:
+    """Of each group the start with the least determinant."""
+    best = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
+    return stored(model.withColumn("best", best).where("best = 1").drop("best"), "quality-best")
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """(grp, x0, ...) rows to (grp, mu, cov, prec, logdet, n): minimum covariance determinant of each group."""
+    model = _starts(rows)
+    for _ in range(TRIALS):
+        model = _step(rows, model)
+    open_, done = _least(model), []
     for _ in range(STEPS):
-        far = rows.join(model, "grp").select("grp", "vec", distance(F.col("vec"), F.col("mu"), F.col("prec")).alias("d"))
-        cut = far.groupBy("grp").agg(F.percentile_approx("d", SHARE, 10_000).alias("cut"))
-        near = far.join(cut, "grp").where("d <= cut")
-        moments = near.groupBy("grp").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*(F.sum(v) for v in x)).alias("sums"),
-            F.array(*(F.sum(x[i] * x[j]) for i in range(P) for j in range(i, P))).alias("products"),
-        )
-        model = stored(moments.select("grp", estimate("n", "sums", "products").alias("m")).select("grp", "m.mu", "m.prec"), "quality-step")
-    return stored(groups.join(model, "grp").select("lkey", "skey", "mu", "prec"), "quality-model")
+        open_ = _step(rows, open_)
+        moving = F.col("was") - F.col("logdet") > TOLERANCE
+        done.append(open_.where(~moving).drop("was"))
+        open_ = open_.where(moving).drop("was")
+        if open_.isEmpty():
+            break
+    done.append(open_)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.drop("start")
+
+
+def blended(own: tuple, prior: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter of a mixture of a group's (mu, cov, n) with PRIOR rows like ``prior``'s (mu, cov)."""
+    (mu, cov, n), (mu0, cov0) = own, prior
+    w = n / (n + PRIOR)
+    return w * mu + (1 - w) * mu0, w * cov + (1 - w) * cov0 + w * (1 - w) * np.outer(mu - mu0, mu - mu0)
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """(lkey, skey, vec) rows to (lkey, skey, mu, prec), by minimum covariance determinant."""
+    names = F.array(F.concat(F.lit("s|"), F.length("lkey"), F.lit("|"), "lkey", "skey"), F.concat(F.lit("l|"), "lkey"), F.lit("all"))
+    parts = [F.col("vec")[i].alias(x) for i, x in enumerate(X)]
+    rows = vectors.select(F.explode(names).alias("grp"), *parts)
+    model = stored(concentrated(rows), "quality-mcd").select("grp", "mu", "cov", "n")
+    groups = vectors.select("lkey", "skey", names.alias("g")).distinct()
+    for i, level in enumerate("sla"):
+        m = model.select(F.col("grp").alias("own"), F.struct("mu", "cov", "n").alias(level))
+        groups = groups.withColumn("own", F.col("g")[i]).join(m, "own").drop("own")
+
+    @F.pandas_udf("struct<mu:array<double>,prec:array<double>>")
+    def shrunk(s: pd.DataFrame, l: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        out = []
+        for rows in zip(*(zip(x["mu"], x["cov"], x["n"], strict=True) for x in (s, l, a)), strict=True):
+            own, lang, every = ((np.array(mu), CONSISTENCY * np.array(cov).reshape(P, P), n) for mu, cov, n in rows)
+            mu, cov = blended(own, blended(lang, every[:2]))
+            out.append((mu.tolist(), np.linalg.inv(lifted(cov)).ravel().tolist()))
+        return pd.DataFrame(out, columns=["mu", "prec"])
+
+    return stored(groups.select("lkey", "skey", shrunk("s", "l", "a").alias("m")).select("lkey", "skey", "m.mu", "m.prec"), "quality-model")
 
 
 def keyed(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -210,7 +355,7 @@ def keyed(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFram
 def judged(rows: DataFrame, model: DataFrame, tail: float = 1e-6) -> DataFrame:
     """measured() and keyed() rows with ``distance`` and ``kept``; a group without an estimate keeps what passes the base rules."""
     far = distance(F.col("vec"), F.col("mu"), F.col("prec"))
-    joined = rows.join(model, ["lkey", "skey"], "left").withColumn("distance", far)
+    joined = _standing(rows, model, ["lkey", "skey"], "left").withColumn("distance", far)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(1 - tail, P))
     return joined.withColumn("kept", kept).drop("lkey", "skey", "mu", "prec", "vec")
 
