@@ -20,17 +20,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``).
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); cleanup() deletes all of a session's.
 
-    Where the setting is absent, as in tests on one machine, a temporary folder
-    of this machine becomes the checkpoint folder.
+    Where the setting is absent a local session, as in tests on one machine,
+    gets a temporary folder as its checkpoint folder; any other is an error, as
+    executors would each write to a disk of their own.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", top)
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{top.rstrip('/')}/{_session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"quillspark-{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes what this session wrote with scratch() and stored(); results that were not read by then are gone."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/{_session_folder(spark)}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +56,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than this part of all rows are hot: there can be no more than 10,000 of them.
+HOT = 10_000
+SALTS = 64
+
+
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "left", most: int = 20_000, size: str | None = None, weight: Column | None = None) -> DataFrame:
+    """``rows`` joined to ``side`` (stored, unique by ``keys``) without a task for any hot key.
+
+    A side of up to ``most`` rows (and 64 MB of ``weight``, if given) is
+    broadcast. Beyond that rows of hot keys, HOT at most, are salted. ``size``
+    names a column of ``side`` that tells how many rows have its key; else the
+    rows are counted. Keys are not null.
+    """
+    total = side.agg(F.count(F.lit(1)), F.sum(weight if weight is not None else F.lit(0))).collect()[0]
+    if total[0] <= most and (total[1] or 0) <= 64_000_000:
+        return rows.join(F.broadcast(side), keys, how)
+    sizes = side.select(*keys, F.col(size).alias("_n")) if size else stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-sizes")
+    every = sizes.agg(F.sum("_n")).collect()[0][0] or 0
+    hot = F.broadcast(stored(sizes.where(F.col("_n") > max(1000, every // HOT)).select(*keys, F.lit(SALTS).alias("_salts")), "hot-keys"))
+    spread = F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
+    salted = rows.join(hot, keys, "left").withColumn("_salt", spread).drop("_salts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    return salted.join(side.join(hot, keys, "left").withColumn("_salt", each).drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column as text, modulo ``modulus``; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import WORD, null_safe_key, slices, stored, tidy
+from quillspark.llm.common import WORD, joined, null_safe_key, slices, stored, tidy
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -108,6 +108,15 @@ def _case_tables() -> bytes:
     return np.packbits(np.array([[c.isalpha() for c in chars], [c.isupper() for c in chars]])).tobytes()
 
 
+def _counted(flag: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each text how many of its characters have the flag."""
+    out = np.zeros(len(sizes), np.int64)
+    if len(raw):
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        out[sizes > 0] = np.add.reduceat(flag[raw].view(np.uint8), starts, dtype=np.int64)
+    return out
+
+
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with STATS, base_failed and ``vec``, the vector of transformed shares (null if base_failed)."""
     tables = df.sparkSession.sparkContext.broadcast(_case_tables())
@@ -121,9 +130,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             for b in slices(whole, text, 1_000_000):
                 texts = [t or "" for t in b.column(text).to_pylist()]
                 raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-                ends = np.cumsum([0, *map(len, texts)])
-                letters, uppers = (np.append(0, np.cumsum(x[raw], dtype=np.int64))[ends] for x in (alpha, upper))
-                letters, uppers = np.diff(letters), np.diff(uppers)
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                letters, uppers = (_counted(x, raw, sizes) for x in (alpha, upper))
                 rows, lines = [], []
                 for t in texts:
                     words, split = find(t), t.split("\n")
@@ -156,10 +164,10 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 
 X = [f"x{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-#: Aggregated in each bin: rows, deviations from the location so far, and their products.
-_MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS)]
+#: Aggregated in each bin besides the number of rows: deviations from the location so far, and their products.
+_MOMENTS = [*(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS)]
 BINS_PER_OCTAVE = 16
-_REAL, _REALS = T.DoubleType(), T.ArrayType(T.DoubleType())
+_REAL, _REALS, _LIST = T.DoubleType(), T.ArrayType(T.DoubleType()), pa.list_(pa.float64())
 #: (mu, cov, prec, logdet, n): location, scatter, inverse and determinant of the scatter with floors, rows of the group.
 _STATE = T.StructType([T.StructField(c, t) for c, t in (("mu", _REALS), ("cov", _REALS), ("prec", _REALS), ("logdet", _REAL), ("n", _REAL))])
 
@@ -206,27 +214,33 @@ def _state(mu: np.ndarray, cov: np.ndarray, n: float) -> dict:
     return {"mu": mu.tolist(), "cov": cov.ravel().tolist(), "prec": np.linalg.inv(full).ravel().tolist(), "logdet": float(np.linalg.slogdet(full)[1]), "n": n}
 
 
-def nearest(bins: list, share: float, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Location and scatter (maximum likelihood) of the ``share`` of rows in the lowest bins, and the number of all rows.
+def nearest(bins: np.ndarray, n: np.ndarray, moments: np.ndarray, share: float, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter (maximum likelihood) of the ``share`` of rows in the lowest bins.
 
     The bin at the border counts with the part of its rows that is wanted.
     """
-    rows = np.array([[b[m] for m in ("bin", *_MOMENTS)] for b in bins], float)
-    rows = rows[np.argsort(rows[:, 0])][:, 1:]
-    total = rows[:, 0].sum()
-    before = np.cumsum(rows[:, 0]) - rows[:, 0]
-    weight = np.clip((share * total - before) / rows[:, 0], 0.0, 1.0)
-    kept = weight @ rows
-    off = kept[1 : P + 1] / kept[0]
-    return mu + off, _square(kept[P + 1 :] / kept[0]) - np.outer(off, off), total
+    order = np.argsort(bins)
+    n, moments = n[order], moments[order]
+    weight = np.clip((share * n.sum() - (np.cumsum(n) - n)) / n, 0.0, 1.0)
+    kept = weight @ moments / (weight @ n)
+    off = kept[:P]
+    return mu + off, _square(kept[P:]) - np.outer(off, off)
+
 
+def _columns(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([rows[c].to_numpy() for c in names], axis=1)
 
-def _standing(rows: DataFrame, model: DataFrame, keys: list[str], how: str = "inner", most: int = 20_000, salts: int = 64) -> DataFrame:
-    """``rows`` joined to the stored ``model``: broadcast up to ``most`` rows of it, else on a salt, so that no key is one task's."""
-    if model.count() <= most:
-        return rows.join(F.broadcast(model), keys, how)
-    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+def _grouped(binned: DataFrame, keys: list[str], make) -> DataFrame:
+    """What ``make`` of a group's bins gives, a list of (start, state); a group has as many rows as its distances span bins."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        made = make(rows)
+        own = {"grp": [rows["grp"][0].as_py()] * len(made), "start": [i for i, _ in made]}
+        return pa.table(own | {f.name: [x[f.name] for _, x in made] for f in _STATE}, schema=shape)
+
+    shape = pa.schema([("grp", pa.string()), ("start", pa.int32()), ("mu", _LIST), ("cov", _LIST), ("prec", _LIST), ("logdet", pa.float64()), ("n", pa.float64())])
+    return binned.groupBy(*keys).applyInArrow(run, T.StructType([T.StructField("grp", T.StringType()), T.StructField("start", T.IntegerType()), *_STATE]))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -237,11 +251,11 @@ def _starts(rows: DataFrame) -> DataFrame:
     those of their spatial signs.
     """
     middle = stored(rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, 10_000) for x in X)).alias("mid")), "quality-middle")
-    off = _standing(rows, middle, ["grp"])
+    off = joined(rows, middle, ["grp"], "inner")
     spread = [F.percentile_approx(F.abs(F.col(x) - F.col("mid")[i]), 0.5, 10_000) for i, x in enumerate(X)]
     scale = F.array(*(F.greatest(1.4826 * v, F.lit(f)) for v, f in zip(spread, FLOORS, strict=True)))
     wide = stored(off.groupBy("grp").agg(F.first("mid").alias("mid"), scale.alias("scale")), "quality-scale")
-    z = _standing(rows, wide, ["grp"])
+    z = joined(rows, wide, ["grp"], "inner")
     x = [F.col(c) - F.col("mid")[i] for i, c in enumerate(X)]
     z = z.select("grp", *(v.alias(f"s{i}") for i, v in enumerate(x)), *((v / F.col("scale")[i]).alias(f"z{i}") for i, v in enumerate(x)))
     squares = sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(0.0))
@@ -251,45 +265,38 @@ def _starts(rows: DataFrame) -> DataFrame:
     binned = z.groupBy("grp", _bin(F.col("d")).alias("bin")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), *_moments([F.col(f"s{i}") for i in range(P)]), *_moments(flat[0], "t"), *_moments(flat[1], "u")
     )
-    columns = ["bin", *_MOMENTS, *(f"{k}{m}" for k in "tu" for m in _MOMENTS[1:])]
-    held = binned.groupBy("grp").agg(F.collect_list(F.struct(*columns)).alias("bins"))
+    def begin(rows: pa.Table) -> list[tuple[int, dict]]:
+        mid, scale = (np.array(rows[c][0].as_py()) for c in ("mid", "scale"))
+        bins, n = rows["bin"].to_numpy(), rows["n"].to_numpy()
+        found = [nearest(bins, n, _columns(rows, _MOMENTS), share, mid) for share in (0.5, SHARE)]
+        for k in "tu":
+            total = _columns(rows, [k + c for c in _MOMENTS]).sum(axis=0) / n.sum()
+            own = _square(total[P:]) - np.outer(total[:P], total[:P])
+            size = np.sqrt(np.maximum(np.diag(own), 1e-12))
+            found.append((mid, own / np.outer(size, size) * np.outer(scale, scale)))
+        return [(i, _state(mu, cov, n.sum())) for i, (mu, cov) in enumerate(found)]
 
-    @F.pandas_udf(T.ArrayType(_STATE))
-    def begin(mid: pd.Series, scale: pd.Series, bins: pd.Series) -> pd.Series:
-        out = []
-        for m, s, b in zip(mid, scale, bins, strict=True):
-            m, s, found = np.array(m), np.array(s), []
-            for share in (0.5, SHARE):
-                mu, cov, n = nearest(b, share, m)
-                found.append(_state(mu, cov, n))
-            for k in "tu":
-                total = np.array([[x[f"{k}{c}"] for c in _MOMENTS[1:]] for x in b], float).sum(axis=0) / n
-                own = _square(total[P:]) - np.outer(total[:P], total[:P])
-                size = np.sqrt(np.maximum(np.diag(own), 1e-12))
-                found.append(_state(m, own / np.outer(size, size) * np.outer(s, s), n))
-            out.append(found)
-        return pd.Series(out)
-
-    made = held.join(wide, "grp").select("grp", F.posexplode(begin("mid", "scale", "bins")).alias("start", "m"))
-    return stored(made.select("grp", "start", "m.*"), "quality-start")
+    return stored(_grouped(binned.join(F.broadcast(wide) if wide.count() <= 20_000 else wide, "grp"), ["grp"], begin), "quality-start")
 
 
 def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
     """A concentration step of every (grp, start): one aggregate with map-side combining over all rows."""
     off = [F.col(c) - F.col("mu")[i] for i, c in enumerate(X)]
-    far = _standing(rows, model.select("grp", "start", "mu", "prec"), ["grp"])
+    far = joined(rows, model.select("grp", "start", "mu", "prec"), ["grp"], "inner")
     far = far.select("grp", "start", "prec", *(v.alias(f"s{i}") for i, v in enumerate(off)))
     off = [F.col(f"s{i}") for i in range(P)]
     binned = far.groupBy("grp", "start", _bin(_distance(off, F.col("prec"))).alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("n"), *_moments(off))
-    held = binned.groupBy("grp", "start").agg(F.collect_list(F.struct("bin", *_MOMENTS)).alias("bins"))
+    old = model.select("grp", "start", "mu")
+    binned = binned.join(F.broadcast(old) if old.count() <= 20_000 else old, ["grp", "start"])
 
-    @F.pandas_udf(_STATE)
-    def again(mu: pd.Series, bins: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_state(*nearest(b, SHARE, np.array(m))) for m, b in zip(mu, bins, strict=True)], columns=_STATE.names)
+    def again(rows: pa.Table) -> list[tuple[int, dict]]:
+        n = rows["n"].to_numpy()
+        mu, cov = nearest(rows["bin"].to_numpy(), n, _columns(rows, _MOMENTS), SHARE, np.array(rows["mu"][0].as_py()))
+        return [(rows["start"][0].as_py(), _state(mu, cov, n.sum()))]
 
-    old = model.select("grp", "start", "mu", F.col("logdet").alias("was"))
-    made = held.join(old, ["grp", "start"]).select("grp", "start", again("mu", "bins").alias("m"), "was")
-    return stored(made.select("grp", "start", "m.*", "was"), "quality-step")
+    made = _grouped(binned, ["grp", "start"], again)
+    was = model.select("grp", "start", F.col("logdet").alias("was"))
+    return stored(made.join(was, ["grp", "start"]), "quality-step")
 
 
 def _least(model: DataFrame) -> DataFrame:
@@ -355,9 +362,9 @@ def keyed(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFram
 def judged(rows: DataFrame, model: DataFrame, tail: float = 1e-6) -> DataFrame:
     """measured() and keyed() rows with ``distance`` and ``kept``; a group without an estimate keeps what passes the base rules."""
     far = distance(F.col("vec"), F.col("mu"), F.col("prec"))
-    joined = _standing(rows, model, ["lkey", "skey"], "left").withColumn("distance", far)
+    rows = joined(rows, model, ["lkey", "skey"]).withColumn("distance", far)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(1 - tail, P))
-    return joined.withColumn("kept", kept).drop("lkey", "skey", "mu", "prec", "vec")
+    return rows.withColumn("kept", kept).drop("lkey", "skey", "mu", "prec", "vec")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,13 +98,6 @@ def test_small_groups_lean_on_their_language(spark):
     assert np.abs(big).max() < 0.15 and (small > 0.1).all() and (small < 0.6).all()
 
 
-def test_joins_without_broadcast(spark):
-    rows = spark.createDataFrame([(f"g{i % 5}", i) for i in range(100)], "grp string, i int")
-    model = spark.createDataFrame([(f"g{i}", i) for i in range(4)], "grp string, m int")
-    got = {(r.i, r.m) for r in quality._standing(rows, model, ["grp"], "left", most=2, salts=3).collect()}
-    assert got == {(i, i % 5 if i % 5 < 4 else None) for i in range(100)}
-
-
 def test_query_rejects_junk_and_keeps_clean(spark, tmp_path):
     rows = [(i, sample(i), "en" if i % 2 else None, "s", 0) for i in range(300)]
     junk = {1000 + i: sample(5000 + i).replace(" ", "### ") for i in range(10)}
