@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import sys
 from collections.abc import Callable, Iterator
 from itertools import islice
 from pathlib import Path
@@ -159,27 +158,39 @@ class Codec:
 SLICE_BYTES = 16_000_000
 
 
-def _codec(ranks, pattern: str) -> Codec:
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def _digest(ranks: dict[bytes, int]) -> str:
+    """Of the whole table."""
+    h = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        h.update(len(token).to_bytes(4, "little") + token + rank.to_bytes(8, "little"))
+    return h.hexdigest()
+
+
+def _codec(ranks, digest: str, pattern: str) -> Codec:
     """One codec for each Python process, as building its tables takes a while."""
-    kept = sys.__dict__.setdefault("_quillspark_codecs", {})
-    key = (pattern, len(ranks.value), hash(frozenset(list(ranks.value.items())[:1000])))
-    if key not in kept:
+    from quillspark.llm import bpe  # functions that came by value share the module's codecs, not their own
+
+    kept = bpe._codecs
+    if (digest, pattern) not in kept:
         kept.clear()
-        kept[key] = Codec(ranks.value, pattern)
-    return kept[key]
+        kept[digest, pattern] = Codec(ranks.value, pattern)
+    return kept[digest, pattern]
 
 
 def tokenized(
     df: DataFrame, ranks: dict[bytes, int], pattern: str, derive: Callable[[bytes, Codec], tuple], fields: str, text: str = "text"
 ) -> DataFrame:
     """``df`` with what ``derive(ids, codec)`` gives for each row's text; ``fields`` are the types of that."""
-    shared = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, bounded by its file
+    shared, digest = df.sparkSession.sparkContext.broadcast(ranks), _digest(ranks)  # a vocabulary, bounded by its file
     names = [f.split(":")[0] for f in fields.split(",")]
     schema = T.StructType(list(df.drop(text, *names).schema))
     kept = list(schema.names)
 
     def run(batches):
-        codec = _codec(shared, pattern)
+        codec = _codec(shared, digest, pattern)
         for b in batches:
             for part in slices(b, text, SLICE_BYTES):
                 texts = [t or "" for t in part.column(text).to_pylist()]

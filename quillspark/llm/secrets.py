@@ -10,7 +10,8 @@ and a new version of one rule scans old blobs for that rule alone.
 
 Plan: contents meet by address behind a map-side aggregate, so that a group of
 copies sends one row per task. Findings of the few blobs that have any are
-joined to (path, address) rows; texts take no part in that join.
+joined to (path, address) rows, broadcast while they are few, else salted for
+addresses with many paths; texts take no part in that join.
 
 Defined cases: a null text is empty; repeated rows are paths of their own; an
 empty table gives no rows; other columns of the input are ignored. Spans are
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import scratch, tidy
+from quillspark.llm.common import crc_mod, joined, scratch, stored, tidy
 
 
 def _either_case(word: str) -> str:
@@ -39,6 +40,11 @@ def _either_case(word: str) -> str:
 _NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either_case("api") + "_?" + _either_case("key")
 
 
+#: Patterns of a run of one class, maybe after a prefix that the class holds too. A match of theirs that starts anywhere in a
+#: longer run ends with it, so that such rules can state their least length in the pattern.
+_RUNS = {"AKIA[A-Z0-9]+": "AKIA[A-Z0-9]", "[0-9a-f]+": "[0-9a-f]"}
+
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: a pattern, and the least length of one of its groups (0: the whole match)."""
@@ -51,7 +57,13 @@ class Rule:
     @property
     def version(self) -> str:
         """Changes with whatever changes the rule's findings."""
-        return self.kind + "@" + hashlib.sha256(repr((self.pattern, self.group, self.least)).encode()).hexdigest()[:12]
+        return self.kind + "@" + hashlib.sha256(repr((self.pattern, self.group, self.least, self.short)).encode()).hexdigest()[:12]
+
+    @property
+    def short(self) -> str:
+        """The pattern that is run: the stated one, or one with the same findings."""
+        run = _RUNS.get(self.pattern)
+        return f"{run}{{{self.least - len(run.partition('[')[0])},}}" if run else self.pattern
 
 
 BASE_RULES = (
@@ -63,10 +75,6 @@ RULES = (*BASE_RULES, Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0), R
 
 FINDING = "array<struct<kind:string,start:long,end:long>>"
 LEDGER = f"blob binary, rules array<string>, findings {FINDING}"
-#: A greedy run that starts anywhere in a longer run is part of it; such rules can state their length in the pattern.
-_RUNS = {"access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}", "forge": "gh[pousr]_[A-Za-z0-9]{36,}"}
-
-
 def find(text: str, rule: Rule, compiled: re.Pattern) -> Iterator[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of one rule, those too short left out."""
     for m in compiled.finditer(text):
@@ -74,13 +82,9 @@ def find(text: str, rule: Rule, compiled: re.Pattern) -> Iterator[tuple[str, int
             yield rule.kind, m.start(), m.end()
 
 
-def _compiled(rule: Rule) -> re.Pattern:
-    return re.compile(_RUNS[rule.kind] if rule in RULES and rule.kind in _RUNS else rule.pattern)
-
-
 def _scan(rules: tuple[Rule, ...]):
     def run(batches):
-        own = [(r, r.version, _compiled(r)) for r in rules]
+        own = [(r, r.version, re.compile(r.short)) for r in rules]
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for b in batches:
             found = []
@@ -141,7 +145,8 @@ def findings_of(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
         .select("blob", F.transform("sorted", lambda f: F.struct(f.kind.alias("kind"), f.start.alias("start"), f.end.alias("end"))).alias("findings"))
     )
     none = F.array().cast(FINDING)
-    return addressed(versions).join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", none)).drop("blob")
+    hits = stored(hits, "secret-hits")
+    return joined(addressed(versions), hits, ["blob"], most=50_000, weight=F.size("findings") * 48).withColumn("findings", F.coalesce("findings", none)).drop("blob")
 
 
 def as_text(findings: Column) -> Column:
@@ -173,9 +178,11 @@ def redact(text: Column, findings: Column) -> Column:
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every document, by a ledger that starts empty."""
+    """Findings of every document, by a ledger of two scans: a first crawl of some paths, then all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = scan(docs, scratch(spark, "secret-ledger"))
+    path = scratch(spark, "secret-ledger")
+    scan(docs.where(crc_mod("doc_id", 16) == 0), path)
+    ledger = scan(docs, path)
     found = findings_of(docs, ledger)
     base = F.filter("findings", lambda f: f.kind.isin(*(r.kind for r in BASE_RULES)))
     count = lambda k: F.size(F.filter("findings", lambda f: f.kind == k)).cast("long")

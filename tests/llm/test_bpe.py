@@ -58,3 +58,19 @@ def test_query_and_round_trip(spark, tmp_path):
     assert [bytes(r.decoded).decode() for r in back] == [t or "" for t in texts]
     assert bpe.encode(df.limit(0), RANKS, PATTERN).count() == 0
     assert bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def test_vocabularies_that_differ_late_have_codecs_of_their_own(spark):
+    """Two tables of one size whose first entries agree, used by the same Python processes."""
+    swapped = dict(RANKS)
+    last = sorted(RANKS.values())[-400:]
+    token = {r: t for t, r in RANKS.items()}
+    for r, other in zip(last, reversed(last), strict=True):
+        swapped[token[r]] = other
+    assert bpe._digest(RANKS) != bpe._digest(swapped) == bpe._digest(dict(reversed(swapped.items())))
+    text = " ".join(token[r].decode("utf-8", "replace") for r in last)
+    df = spark.createDataFrame([(text,)] * 4, "text string").repartition(4)
+    for ranks in (RANKS, swapped, RANKS):
+        want = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+        for r in bpe.encode(df, ranks, PATTERN).collect():
+            assert np.frombuffer(r.ids, "<u4").tolist() == want
