@@ -16,8 +16,8 @@ Signatures are cut into bands. Texts that share a band are candidates:
   the similarity that signatures estimate, so that no bucket gives more edges
   than it has texts, and what is connected stays connected;
 * larger buckets are split by eight further bands each, and what is still
-  larger is taken in blocks, in the order of signatures, each joined to the
-  one before.
+  larger is dealt to cells and taken in blocks, in the order of signatures,
+  each joined to the one before.
 
 Candidates are checked exactly on their shingles. As a forest's edge may fail
 where another pair of its bucket would not, and blocks do not meet, buckets of
@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import WORD, slices, stored, tidy
+from quillspark.llm.common import WORD, joined, slices, stored, tidy
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -56,6 +56,7 @@ SKETCH = 256  # coordinates of the signature kept for estimates, a byte each
 PLAUSIBLE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SKETCH) ** 0.5
 SMALL, LARGE, CARRY = 8, 1024, 128
 FILTER_BITS = 1 << 25
+FILTER_NODES = FILTER_BITS // 8  # beyond them more than a fiftieth of other texts would pass
 #: Probabilities that a Poisson variable of mean 1 exceeds 0, 1, ..., scaled to 32 bits.
 _TAILS = []
 _p, _tail = 0.36787944117144233, 1.0
@@ -232,33 +233,39 @@ def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """(key, ...) rows with ``size``, how many rows have the key; keys of one row are left out. No task has all rows of a key."""
+    sizes = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "neardup-sizes")
+    return joined(entries, sizes, ["key"], "inner", size="size")
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(node, keys, sketch), one row per node, to (node, band, key, size) of the buckets that nodes share."""
-    entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return stored(entries.withColumn("size", size).where("size > 1"), "neardup-entries")
+    """(node, keys, sketch), one row per node, to (key, node, band, size) of the buckets that nodes share."""
+    return stored(_shared(nodes.select("node", F.posexplode("keys").alias("band", "key"))), "neardup-entries")
 
 
 def candidates(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """What buckets() gives to distinct candidate pairs a < b."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
     small = entries.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("n"))
     pairs = F.flatten(
         F.transform("n", lambda a, i: F.transform(F.slice("n", i + 2, F.size("n")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
     )
     small = small.select(F.inline(pairs)).where("a < b")
-    large = entries.where((F.col("size") > SMALL) & (F.col("size") <= LARGE)).select("key", "node")
+    large = entries.where((F.col("size") > SMALL) & (F.col("size") <= LARGE)).select("key", "node", "size")
     split = (
         entries.where(F.col("size") > LARGE)
         .join(nodes.select("node", "keys"), "node")
         .select("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: F.xxhash64("key", F.get("keys", (F.col("band") + j) % BANDS)))).alias("key"))
     )
-    split = split.withColumn("size", size).where("size > 1").select("key", "node")
+    split = _shared(stored(split, "neardup-split")).select("key", "node", "size")
+    cell = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (16 * LARGE))).alias("cell")
     forest = (
         large.unionByName(split)
+        .select("key", "node", cell)
         .join(nodes.select("node", "sketch"), "node")
-        .repartition("key")
-        .sortWithinPartitions("key", "sketch", "node")
+        .repartition("key", "cell")
+        .sortWithinPartitions("key", "cell", "sketch", "node")
+        .select(F.xxhash64("key", "cell").alias("key"), "node", "sketch")
         .mapInArrow(_bucket_edges, "a binary, b binary")
     )
     return small.unionByName(forest).distinct()
@@ -282,7 +289,20 @@ def expanded(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) to (node, units) for the nodes wanted and a few others: hashes of units of weight, of which texts share as many as weight.
 
     A Bloom filter of bounded size keeps most texts that aren't wanted from being computed; none is moved.
+    For more nodes than it can tell apart, the distinct texts are shuffled to them instead.
     """
+    docs = docs.where("node IS NOT NULL")
+    if nodes.count() > FILTER_NODES:
+        once = docs.groupBy("node").agg(F.first("text").alias("text"))
+
+        def every(batches):
+            hashes = WordHashes()
+            for whole in batches:
+                for b in slices(whole, "text", 4_000_000):
+                    made = [units(*shingles(t, hashes))[0].view(np.int64) for t in b.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "units"])
+
+        return once.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(tidy(every), "node binary, units array<long>")
     words = bloom(nodes)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -295,7 +315,7 @@ def expanded(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 made = [units(*shingles(t, hashes))[0].view(np.int64) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "units"])
 
-    rows = docs.where("node IS NOT NULL").select("node", "text", _slots("node", len(words) * 64).alias("slots")).mapInArrow(tidy(run), "node binary, units array<long>")
+    rows = docs.select("node", "text", _slots("node", len(words) * 64).alias("slots")).mapInArrow(tidy(run), "node binary, units array<long>")
     return rows.groupBy("node").agg(F.first("units").alias("units"))
 
 
@@ -388,7 +408,8 @@ def completed(entries: DataFrame, nodes: DataFrame, docs: DataFrame, links: Data
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks, chunks = (F.ceil(n / F.lit(LARGE)).alias(k) for n, k in ((F.col("n"), "blocks"), (F.col("n") - F.col("main.n"), "chunks")))
-    rows = rooted.join(parts.select("key", F.col("main.root").alias("main"), blocks, chunks), "key")
+    parts = stored(parts.select("key", F.col("main.root").alias("main"), "n", blocks, chunks), "neardup-parts")
+    rows = joined(rooted, parts, ["key"], "inner", size="n").drop("n")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), "chunks"))
     cell = lambda c, b: F.struct(c.alias("c"), b.alias("b"))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: cell(c, F.col("block")))
@@ -444,12 +465,16 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text) rows to (doc_id, node, worded, class_id)."""
+    """(doc_id, text) rows to (doc_id, node, worded, root, class_id): ``root`` is one per class, also where classes share an id."""
     rows, links = linked(docs, threshold)
-    roots = components(links)
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rows.where("worded").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", "node", "worded", F.when(F.col("worded"), F.col("least")).otherwise(F.col("doc_id")).alias("class_id"))
+    per_node = rows.where("worded").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    rooted = per_node.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stored(rooted, "neardup-nodes-by-root")
+    least = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("nodes"))
+    named = joined(rooted.select("node", "root", "copies"), stored(least, "neardup-least"), ["root"], "inner", size="nodes")
+    named = stored(named.select("node", "root", "class_id", "copies"), "neardup-classes")
+    worded = joined(rows.where("worded"), named, ["node"], "inner", size="copies").select("doc_id", "node", "worded", "root", "class_id")
+    return worded.unionByName(rows.where("NOT worded").select("doc_id", "node", "worded", F.col("node").alias("root"), F.col("doc_id").alias("class_id")))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,53 @@ def test_components_of_long_chains(spark):
 
 def test_empty_table(spark):
     assert nd.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def links_of(texts):
+    """Every pair with the similarity, by an inverted index over shingles."""
+    h = nd.WordHashes()
+    sets = {i: nd.shingles(t, h) for i, t in texts.items()}
+    inverse, pairs = {}, set()
+    for i, (e, _) in sets.items():
+        for x in e.tolist():
+            inverse.setdefault(x, []).append(i)
+    for own in inverse.values():
+        pairs.update((i, j) for k, i in enumerate(own) for j in own[k + 1 :])
+    return {(i, j) for i, j in pairs if jaccard(sets[i], sets[j]) >= nd.THRESHOLD}
+
+
+def test_recall_of_links_on_generated_documents(spark):
+    """Of all true links between different texts, those inside one class; and no class has a pair that no link connects."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    first, same = {}, {}
+    for r in docs.orderBy("doc_id").collect():
+        first.setdefault(r.text, r.doc_id)
+        same[r.doc_id] = first[r.text]
+    texts = {i: t for t, i in first.items()}
+    links = links_of(texts)
+    got = {r.doc_id: r.class_id for r in nd.op2_neardup(spark, "/root/testdata/sf0.01").collect()}
+    assert len(links) >= 4 and sum(got[i] == got[j] for i, j in links) == len(links)
+    assert all(got[i] == got[j] for i, j in same.items() if texts[j] and texts[j].strip())
+    assert {i: got[i] for i in texts} == {i: min(k for k in same if same[k] == c) for i, c in ((i, c) for i, c in brute(texts).items())}
+
+
+@pytest.mark.parametrize("nodes", [0, 10**9])
+def test_units_by_filter_or_by_join(spark, monkeypatch, nodes):
+    monkeypatch.setattr(nd, "FILTER_NODES", nodes)
+    docs = nd.nodes_of(spark.createDataFrame([(i, f"t{i} b c d e f") for i in range(50)] * 2 + [(99, None)], "doc_id long, text string"))
+    wanted = docs.where("doc_id < 10").select("node").distinct()
+    got = {bytes(r.node): len(r.units) for r in nd.expanded(docs.select("node", "text"), wanted).collect()}
+    need = {bytes(r.node) for r in wanted.collect()}
+    assert need <= set(got) and set(got.values()) == {2} and (nodes or set(got) == need)
+
+
+def test_hot_keys_beyond_the_broadcast(spark, monkeypatch):
+    """All joins salted instead of broadcast: the same classes."""
+    from quillspark.llm import common
+
+    plain = common.joined
+    monkeypatch.setattr(nd, "joined", lambda *a, **k: plain(*a, **k, most=0))
+    r, base = random.Random(6), [f"v{i}" for i in range(120)]
+    rows = [(i, edited(base, i % 3 % 2, r)) for i in range(1500)] + [(5000 + i, f"one of a kind {i} x{i} y{i}") for i in range(300)] + [(9000, None), (9001, None)]
+    got = {x.doc_id: x.class_id for x in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 5000 else i for i, _ in rows}
