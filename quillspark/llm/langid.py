@@ -8,10 +8,11 @@ for false positives, of which the column's share of set bits to the power k is
 the rate; the language with most n-grams left decides.
 
 Fitting takes at most ``max_rows`` rows of each language, those with the least
-hash of their text, so that copies and order do not matter; their n-grams that
-occur in ``min_rows`` texts and a share ``min_share`` of them enter the filter,
-the ``max_grams`` most frequent of each language. Scoring covers whole texts in Arrow batches with numpy; the
-filter is broadcast (``bits``, a power of two, rows of one word per 64 languages).
+hash of their text, so that copies and order do not matter; all their n-grams
+that occur in ``min_rows`` texts and a share ``min_share`` of them enter the
+filter, whose size follows from their number. Scoring covers whole texts in
+Arrow batches with numpy; the filter is broadcast (a power of two of rows, one
+word per 64 languages each).
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 a text without any known n-gram takes the first language in order, with score
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import crc_mod, slices, tidy
+from quillspark.llm.common import crc_mod, slices, stored, tidy
 
 UND = "und"
 SIZES = (3, 4)
@@ -124,9 +125,14 @@ class Model:
 
 
 def fit(
-    train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 2000, min_rows: int = 2, min_share: float = 0.02, max_grams: int = 20_000, bits: int = 1 << 19, hashes: int = 3
+    train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 2000, min_rows: int = 2, min_share: float = 0.005, bits_per_gram: int = 12, hashes: int = 3
 ) -> Model:
-    """A model of the languages in ``train``; all limits are per language."""
+    """A model of the languages in ``train``, from about ``max_rows`` rows of each.
+
+    An n-gram belongs to a language if ``min_rows`` and ``min_share`` of the
+    distinct texts that were taken of it have it; the filter has as many bits as
+    the language with the most n-grams needs.
+    """
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
@@ -144,13 +150,17 @@ def fit(
             frame = pd.DataFrame({"lang": np.array(langs, object)[pairs[0].astype(np.int64)], "gram": pairs[1].view(np.int64)})
             yield pa.RecordBatch.from_pandas(frame.groupby(["lang", "gram"]).size().reset_index(name="n"), preserve_index=False)
 
-    seen = rows.where(low).dropDuplicates(["lang", "text"]).mapInArrow(count, "lang string, gram long, n long")
-    least = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, max(float(min_rows), min_share * min(n, max_rows)))))
+    few = stored(rows.where(low).dropDuplicates(["lang", "text"]), "langid-sample")
+    texts = {r.lang: r["count"] for r in few.groupBy("lang").count().collect()}
+    seen = few.mapInArrow(count, "lang string, gram long, n long")
+    least = F.create_map(*(F.lit(x) for k in sizes for x in (k, max(float(min_rows), min_share * texts.get(k, 0)))))
     seen = seen.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("lang")])
-    ranked = seen.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram")), asc=False), 1, max_grams).alias("top"))
-    best = {r.lang: np.array([x.gram for x in r.top], np.int64).view(np.uint64) for r in ranked.collect()}
+    table_ = seen.select("lang", "gram").toArrow()  # n-grams of the sample
+    of, grams_ = np.array(table_["lang"].to_pylist(), object), table_["gram"].to_numpy().view(np.uint64)
     languages = sorted(sizes)
-    return Model.build(languages, [best.get(k, np.zeros(0, np.uint64)) for k in languages], bits, hashes)
+    sets = [np.sort(grams_[of == k]) for k in languages]
+    bits = 1 << max(10, int(bits_per_gram * max(map(len, sets))).bit_length())
+    return Model.build(languages, sets, bits, hashes)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

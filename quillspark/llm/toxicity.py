@@ -141,6 +141,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def lowered(text: str) -> tuple[str, list[int] | None]:
+    """The text in lower case, and where each character comes from if some became several."""
+    lower = text.lower()
+    if len(lower) == len(text):
+        return lower, None
+    parts = [c.lower() for c in text]
+    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
+
+
 class Scorer:
     """Finds hits and their features; keeps what tokens match while they fit ``max_tokens``."""
 
@@ -160,8 +169,8 @@ class Scorer:
         return found
 
     def hits(self, text: str | None) -> list[dict]:
-        """start, end, term, edits, quoted and context score of each hit."""
-        lower = (text or "").lower()
+        """start, end, term, edits, quoted and context score of each hit, in code points of ``text``."""
+        lower, origin = lowered(text or "")
         if len(self.seen) > self.max_tokens:
             self.seen.clear()
             self.known.clear()
@@ -180,7 +189,8 @@ class Scorer:
             near = {x.group() for x in found[max(0, i - WINDOW) : i + WINDOW + 1]}
             context = self.model.odds[hit[1]] * 0.6 ** hit[0] * (0.3 if quoted else 1.0)
             context *= (0.6 if near & REPORT else 1.0) * (1.3 if near & ADDRESS else 1.0)
-            out.append({"start": m.start(), "end": m.end(), "term": self.model.terms[hit[1]], "edits": hit[0], "quoted": quoted, "context": context})
+            start, end = (m.start(), m.end()) if origin is None else (origin[m.start()], origin[m.end() - 1] + 1)
+            out.append({"start": start, "end": end, "term": self.model.terms[hit[1]], "edits": hit[0], "quoted": quoted, "context": context})
         return out
 
     @staticmethod
@@ -206,7 +216,7 @@ def _significant(toxic: int, clean: int, n_toxic: int, n_clean: int, words: int)
     return odds if g > 2 * math.log(max(2, words) / 0.5) and odds > math.log(8) else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: int = 2_000, least_contexts: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, least_contexts: int = 3) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic)."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -231,9 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
         return Model([], [], [30.0 if only else -30.0, *[0.0] * FEATURES])
     n_toxic, n_clean = totals[""].toxic, totals[""].clean
     words = seen.count()
-    # more than eight times the odds, at most five times max_terms words: near copies are still among them
+    # more than eight times the odds; near copies are still among them
     ratio = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * ((n_clean + 1) / (n_toxic + 1))
-    rows = top.where((ratio > 8) & (F.col("word") != "")).orderBy(F.desc("toxic"), "clean", "word").limit(5 * max_terms).collect()
+    rows = top.where((ratio > 8) & (F.col("word") != "")).collect()  # words of at most max_rows texts
     odds = {r.word: o for r in rows if (o := _significant(r.toxic, r.clean, n_toxic, n_clean, words))}
     toxic_rows = {r.word: r.toxic for r in rows}
 
@@ -247,12 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
 
     varied = train.mapInArrow(contexts, "word string, context string").distinct().groupBy("word").count().collect()
     varied = {r.word: r["count"] for r in varied}
-    terms = [w for w in odds if varied.get(w, 0) >= max(least_contexts, 0.5 * toxic_rows[w])]
-    terms = sorted(terms, key=lambda w: (-varied[w], w))[:max_terms]
-    model = Model(sorted(terms), [odds[w] for w in sorted(terms)])
-    pairs = scored(train, model, hits="hits").select("toxic", "hits").where(F.size("hits") > 0).collect()
-    x = np.array([Scorer.features([h.asDict() for h in r.hits]) for r in pairs]).reshape(-1, FEATURES)
-    y = np.array([float(r.toxic > 0) for r in pairs])
+    terms = sorted(w for w in odds if varied.get(w, 0) >= max(least_contexts, 0.5 * toxic_rows[w]))
+    model = Model(terms, [odds[w] for w in terms])
+    pairs = _features(train, model).toPandas()  # FEATURES numbers for each of at most max_rows texts
+    x = np.array(pairs["x"].tolist(), float).reshape(-1, FEATURES)
+    y = (pairs["toxic"] > 0).to_numpy(float)
     rest = [n_toxic - y.sum(), n_clean - (len(y) - y.sum())]  # texts without hits have no features
     blank = np.zeros((2, FEATURES))
     x, y = np.vstack([x, blank]), np.append(y, [1.0, 0.0])
@@ -260,6 +269,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
     return model
 
 
+def _features(train: DataFrame, model: Model) -> DataFrame:
+    """(text, toxic) to (toxic, x) of the texts with hits."""
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for b in batches:
+            hits = [scorer.hits(t) for t in b.column("text").to_pylist()]
+            some = [i for i, h in enumerate(hits) if h]
+            toxic = b.column("toxic").cast(pa.int64()).take(pa.array(some, pa.int64()))
+            yield pa.RecordBatch.from_arrays([toxic, pa.array([scorer.features(hits[i]) for i in some], pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    return train.select("text", "toxic").mapInArrow(tidy(run), "toxic long, x array<double>")
+
+
 def _weighted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> list[float]:
     """Intercept and weights of a logistic regression over weighted rows, by Newton's method."""
     x = np.hstack([np.ones((len(x), 1)), x])
