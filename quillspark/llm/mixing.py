@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import WORD, null_safe_key
+from quillspark.llm.common import WORD, null_safe_key, stored
 
 STEPS = 50
 SLOTS = 2**31
@@ -54,13 +54,22 @@ def _id_text(doc_id: str) -> Column:
 def weights(tokens: DataFrame, budget: int | str = "total", entropy: float = 0.95, max_repeats: float = 4.0) -> DataFrame:
     """(skey, tokens) per source to (skey, tokens, weight, budget, epochs, rest).
 
+    Sources with equally many tokens are one entry of the row that is solved, so
+    that it has no more entries than the root of twice the number of all tokens,
+    whatever the number of sources.
+
     ``budget``: a number of tokens; "total", as many as there are; or "cover",
     the least for which every source is drawn at least once as a whole.
     """
-    one = tokens.agg(F.array_sort(F.collect_list(F.struct("skey", F.col("tokens").cast("double").alias("t")))).alias("s"))
-    one = one.withColumn("s", F.filter("s", lambda x: x.t > 0)).where(F.size("s") > 0)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    one = one.withColumn("t", F.col("s.t")).withColumn("sum", total("t"))
+    sums = tokens.where("tokens > 0").groupBy(F.col("tokens").cast("double").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    one = sums.agg(F.array_sort(F.collect_list(F.struct("t", "m"))).alias("s")).where(F.size("s") > 0)
+    one = one.withColumn("t", F.col("s.t")).withColumn("m", F.col("s.m"))
+
+    def total(x: Column) -> Column:
+        """Over all sources, ``m`` of which have each value."""
+        return F.aggregate(F.zip_with(x, "m", lambda v, m: v * m), F.lit(0.0), lambda acc, v: acc + v)
+
+    one = one.withColumn("sum", total(F.col("t")))
     one = one.withColumn("p", F.transform("t", lambda t: t / F.col("sum")))
 
     def powered(a: Column) -> Column:
@@ -87,21 +96,20 @@ def weights(tokens: DataFrame, budget: int | str = "total", entropy: float = 0.9
             ).otherwise(F.struct(acc.lo.alias("lo"), ((acc.lo + acc.hi) / 2).alias("hi"))),
         )
 
-    goal = F.lit(entropy) * F.log(F.size("s").cast("double"))
+    goal = F.lit(entropy) * F.log(F.aggregate("m", F.lit(0.0), lambda acc, m: acc + m))
     one = one.withColumn("by_entropy", F.when(spread(F.lit(1.0)) >= goal, 1.0).otherwise(bisect(lambda a: spread(a) >= goal).lo))
     one = one.withColumn(
         "by_repeats", F.when(repeats(F.lit(0.0)) <= max_repeats, 0.0).otherwise(bisect(lambda a: repeats(a) > max_repeats).hi)
     )
     one = one.withColumn("exponent", F.greatest("by_entropy", "by_repeats")).withColumn("x", powered(F.col("exponent")))
-    one = one.withColumn("w", F.transform("x", lambda v: v / total("x")))
+    one = one.withColumn("w", F.transform("x", lambda v: v / total(F.col("x"))))
     if budget == "cover":
         whole = F.array_max(F.zip_with("t", "w", lambda t, w: t / w))
     else:
         whole = F.col("sum") if budget == "total" else F.lit(float(budget))
+    own = one.select("exponent", whole.alias("whole"), F.inline(F.zip_with("t", "w", lambda t, w: F.struct(t.alias("t"), w.alias("weight")))))
     # within a billionth of a whole epoch, an epoch is whole
-    rows = one.withColumn("whole", whole).select(
-        "exponent", "whole", F.inline(F.zip_with("s", "w", lambda s, w: F.struct(s.skey.alias("skey"), s.t.alias("t"), w.alias("weight"))))
-    )
+    rows = tokens.withColumn("t", F.col("tokens").cast("double")).join(own, "t")
     drawn = F.floor(F.col("weight") * F.col("whole") * (1 + 1e-9)).cast("long")
     some = rows.select("skey", F.col("t").cast("long").alias("tokens"), "weight", "exponent", drawn.alias("budget"))
     return some.select(
@@ -146,7 +154,8 @@ def draw(docs: DataFrame, tokens: Column, doc_id: str = "doc_id", source: str =
         tokens.alias("mix_tokens"),
         (_hash32(_id_text(doc_id)) % n_blocks).cast("int").alias("mix_block"),
     )
-    blocks = keyed.groupBy(F.col("mix_skey").alias("skey"), F.col("mix_block").alias("block")).agg(F.sum("mix_tokens").alias("tokens"))
+    slim = stored(keyed.select("mix_skey", "mix_block", "mix_tokens", doc_id), "mixing-tokens")  # so that texts are counted twice, not once for each use
+    blocks = slim.groupBy(F.col("mix_skey").alias("skey"), F.col("mix_block").alias("block")).agg(F.sum("mix_tokens").alias("tokens"))
     drawn = schedule(blocks, weights(blocks.groupBy("skey").agg(F.sum("tokens").alias("tokens")), **target))
     drawn = drawn.select(*(F.col(c).alias(f"mix_{c}") for c in ("skey", "block", "epoch", "slot", "left")))
     key = _hash32(F.concat_ws("|", F.lit("doc"), "mix_epoch", _id_text(doc_id)))
@@ -154,8 +163,7 @@ def draw(docs: DataFrame, tokens: Column, doc_id: str = "doc_id", source: str =
     # where a budget ends inside a block: the last of its documents, by key and id, that the budget holds
     order = Window.partitionBy("mix_skey", "mix_block", "mix_epoch").orderBy("mix_key", doc_id)
     ends = (
-        keyed.select("mix_skey", "mix_block", "mix_tokens", doc_id)
-        .join(drawn.where("mix_left IS NOT NULL"), ["mix_skey", "mix_block"])
+        slim.join(drawn.where("mix_left IS NOT NULL"), ["mix_skey", "mix_block"])
         .withColumn("mix_key", key)
         .withColumn("mix_ahead", F.sum("mix_tokens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
         .where(F.col("mix_ahead") <= F.col("mix_left"))
@@ -169,7 +177,7 @@ def draw(docs: DataFrame, tokens: Column, doc_id: str = "doc_id", source: str =
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture of as many tokens as the corpus has, at 95 % of the greatest entropy and four repeats at most."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"))
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n")), "mixing-counts")
     return draw(docs, F.col("n"), budget="total", entropy=0.95, max_repeats=4.0).select(
         "doc_id",
         "source",

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.tables import table
-from quillspark.llm.common import scratch, stored
+from quillspark.llm.common import joined, scratch, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -51,10 +51,11 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
         .groupBy("digest", "n")
         .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
-        .select("digest", "n", "keeper")
+        .select(F.concat_ws(":", "digest", "n").alias("copy"), "keeper", "copies")
     )
-    # stored, so that its size is known: Spark broadcasts it below its threshold and else shuffles the pages
-    rows = base.join(stored(copies, "warc-copies"), ["digest", "n"], "left")
+    # smaller pages have keys of their own, so that where the pages must be shuffled, those with few contents don't meet in a task
+    key = F.when(F.col("n") >= least, F.concat_ws(":", "digest", "n")).otherwise(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
+    rows = joined(base.withColumn("copy", key), stored(copies, "warc-copies"), ["copy"], most=200_000, size="copies")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), "n", F.lit(END))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
@@ -222,7 +223,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, and read from them again."""
     path = scratch(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
 OP7_SQL = f"""
@@ -230,6 +231,7 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS p
 k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM p)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {LEAST_BYTES} AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= {LEAST_BYTES} AND keeper <> page_id THEN keeper END AS refers_to
+       CASE WHEN payload_bytes >= {LEAST_BYTES} AND keeper <> page_id THEN keeper END AS refers_to,
+       TRUE AS digest_ok
 FROM k
 """
