@@ -10,33 +10,38 @@ stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, neardup, quality, secrets
-from quillspark.llm.common import scratch
+from quillspark.llm.common import WORD, scratch, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outlier of their language and source."""
-    rows = quality.keyed(quality.measured(docs.select(COLUMNS)))
-    vectors = rows.where("vec IS NOT NULL").select("lkey", "skey", "vec")
-    model = quality.estimates(quality.stored(vectors, "quality-vectors"))
+    rows = stored(quality.keyed(quality.measured(docs.select(COLUMNS))).where("NOT base_failed"), "quality-stats")
+    model = quality.estimates(rows.select("lkey", "skey", "vec"))
     return quality.judged(rows, model).where("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the least id; texts without words all stay."""
+    """One document of each class of near duplicates, that with the least id; texts without words all stay.
+
+    Where rows share that id and their texts differ, the least text (by its
+    digest) stays, and of rows with one id and text the one that is least by
+    language and source.
+    """
     found = neardup.classes(docs.select("doc_id", "text"))
-    keepers = found.where("doc_id <=> class_id").select("doc_id", "node").distinct()
-    # a class may hold its least id twice, with texts that differ: the least node of them stays
-    least = found.where("worded AND doc_id <=> class_id").groupBy("doc_id").agg(F.min("node").alias("node"))
-    keepers = found.where("NOT worded").select("doc_id", "node").distinct().unionByName(least)
+    least = found.where("worded AND doc_id <=> class_id").groupBy("root", "class_id").agg(F.min("node").alias("node"))
+    keepers = least.select(F.col("class_id").alias("doc_id"), "node")
     named = docs.withColumn("node", F.unhex(F.md5("text")))
-    same = (named["doc_id"].eqNullSafe(keepers["doc_id"])) & (named["node"].eqNullSafe(keepers["node"]))
-    return named.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "node"]).select(COLUMNS)
+    same = (named["doc_id"].eqNullSafe(keepers["doc_id"])) & (named["node"] == keepers["node"])
+    kept = named.join(keepers, same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("lang", "source"))
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return kept.withColumn("first", first).where("first = 1").select(COLUMNS).unionByName(wordless.select(COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
