@@ -5,6 +5,7 @@ Functions over Column are JVM expressions unless named ``*_udf`` (Arrow).
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -147,6 +148,23 @@ def tokens(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
+# Characters that recognition takes for each other.
+CONFUSIONS = {
+    "0": "OoQD", "1": "lI|i", "2": "Zz", "5": "Ss", "6": "Gb", "8": "B", "9": "gq", "O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "B": "8", "Z": "2",
+}
+
+
+def digits_meant(text: Column) -> Column:
+    """Letters that recognition puts for a digit as that digit, where it is the only one."""
+    letters = {c: d for c, d in CONFUSIONS.items() if not c.isdigit()}
+    return F.translate(text, "".join(letters), "".join(letters.values()))
+
+
+def cleaned_lower(text: Column) -> Column:
+    """Cleaned and in lower case, letters with their marks."""
+    return F.lower(clean(text))
+
+
 def plural(n: Column, one: str, few: str, many: str) -> Column:
     """The Polish plural form for a count."""
     low = (n % 10).between(2, 4) & ~(n % 100).between(12, 14)
@@ -165,7 +183,8 @@ def human_size(n: Column) -> Column:
 # What stands for masked text, and the keys whose values are masked or only measured.
 MASK = "[usunieto]"
 MASKED_KEYS = frozenset(
-    "access_token refresh_token id_token authorization auth password passwd secret client_secret api_key apikey token credential".split()
+    """access_token refresh_token id_token authorization auth password passwd secret client_secret api_key apikey token credential credentials cookie set-cookie
+    x-api-key proxy-authorization query query_text search_query embedding vector""".split()
 )
 MEASURED_KEYS = frozenset("content text body snippet chunk_text document_text full_text".split())
 #: Patterns that are masked, in order, and what replaces them.
@@ -185,6 +204,51 @@ def redact(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, cut).otherwise(text)
 
 
+# Levels of nesting and entries of a list that are shown.
+MOST_LEVELS, MOST_ENTRIES = 4, 20
+
+
+def redact_json(text: Column):
+    """A JSON text with every value redacted by its key, at any depth: masked, measured or searched for secrets; null if it is no JSON."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: None if t is None else _redacted_json(t))
+
+    return run(text)
+
+
+def _redacted_json(text: str) -> str | None:
+    try:
+        return json.dumps(redacted("", json.loads(text)), ensure_ascii=False)
+    except ValueError:
+        return None
+
+
+def redacted(key: str, value: object, level: int = 0) -> object:
+    """A value as diagnostics may show it."""
+    name = key.lower()
+    if name in MEASURED_KEYS:
+        return f"<{len(value)} znaków>" if hasattr(value, "__len__") else MASK
+    if name in MASKED_KEYS or level > MOST_LEVELS + 1:
+        return MASK
+    match value:
+        case dict():
+            return {k: redacted(str(k), v, level + 1) for k, v in value.items()}
+        case list() | tuple():
+            return [redacted(key, v, level + 1) for v in value[:MOST_ENTRIES]]
+        case None | bool() | int() | float():
+            return value
+    return redacted_text(str(value))
+
+
+def redacted_text(text: str, most: int = 200) -> str:
+    """redact() for single texts."""
+    for pattern, to in MASKED_PATTERNS:
+        text = re.sub(pattern, to.replace("$", "\\"), text)
+    return text if len(text) <= most else f"{text[:most]}...[+{len(text) - most} znaków]"
+
+
 def redact_map(values: Column) -> Column:
     """redact() over a map of strings, by key: masked, measured or searched for secrets."""
 

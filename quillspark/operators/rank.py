@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import text as tx
 
@@ -113,17 +113,22 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def without_repeats(chunks: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
-    """(doc_id, rank, chunk_id, text): per document the chunks that repeat no better one. Groups are pages of a few chunks."""
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, kept, sets = rows.sort_values("rank"), [], []
-        for text in rows["text"].fillna(""):
-            w = tx.fold_text(text).split()
-            s = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-            repeat = any(s and o and len(s & o) / min(len(s), len(o)) >= threshold for o in sets)
-            kept.append(not repeat)
-            if not repeat:
-                sets.append(s)
-        return rows[kept]
-
-    return chunks.groupBy("doc_id").applyInPandas(keep, chunks.schema)
+    """(doc_id, rank, chunk_id, text, ...): per document the chunks that repeat no better one.
+
+    Groups are pages of a few chunks: which of them stay is folded over an array
+    of their distinct shingles, in the order of ranks.
+    """
+    own = F.struct("rank", "chunk_id", F.xxhash64("chunk_id", "rank").alias("id"), shingles(F.coalesce("text", F.lit(""))).alias("s"))
+    ranked = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("page"))
+    none = F.array().cast(T.ArrayType(T.ArrayType(T.StringType())))
+
+    def step(state: Column, chunk: Column) -> Column:
+        repeats = F.exists(state["sets"], lambda o: overlap(o, chunk["s"]) >= threshold)
+        return F.struct(
+            F.when(repeats, state["sets"]).otherwise(F.concat(state["sets"], F.array(chunk["s"]))).alias("sets"),
+            F.when(repeats, state["kept"]).otherwise(F.concat(state["kept"], F.array(chunk["id"]))).alias("kept"),
+        )
+
+    start = F.struct(none.alias("sets"), F.array().cast("array<bigint>").alias("kept"))
+    kept = ranked.select("doc_id", F.explode(F.aggregate("page", start, step)["kept"]).alias("id"))
+    return chunks.withColumn("id", F.xxhash64("chunk_id", "rank")).join(kept, ["doc_id", "id"], "left_semi").drop("id")

@@ -10,11 +10,23 @@ from quillspark.operators.filters import SEARCHABLE
 
 # All statuses, and the formats that can be rendered for OCR.
 STATUSES = ("pending", "indexed", "partial", "skipped", "unsupported", "corrupted", "password_protected", "empty", "download_failed", "error", "deleted")
+# How statuses are shown.
+STATUS_LABELS = {
+    "pending": "Oczekuje na przetworzenie", "indexed": "Zaindeksowany", "partial": "Zaindeksowany częściowo", "skipped": "Pominięty", "unsupported": "Format nieobsługiwany",
+    "corrupted": "Plik uszkodzony", "password_protected": "Zabezpieczony hasłem", "empty": "Brak treści do zaindeksowania", "download_failed": "Nie udało się pobrać pliku",
+    "error": "Błąd przetwarzania", "deleted": "Usunięty ze źródła",
+}
 RASTER_TYPES = ("application/pdf", "image/png", "image/jpeg", "image/tiff", "image/bmp", "image/gif", "image/webp")
 RASTER_EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".gif", ".webp")
 NO_EXTENSION = "(brak)"
 
 
+def status_label(status: Column) -> Column:
+    """How a status is shown; others as they are."""
+    labels = F.create_map(*(F.lit(x) for pair in STATUS_LABELS.items() for x in pair))
+    return F.coalesce(labels[status], status)
+
+
 def counts(docs: DataFrame, column: str, empty: str | None = None) -> DataFrame:
     """Rows per value, most first; rows without a value only where ``empty`` names them."""
     value = F.col(column)

@@ -1,27 +1,27 @@
-"""Tables as complete versions in a folder; readers see the last that was written whole."""
+"""Tables as versions in a folder: complete ones, ones of changes, and the manifest that publishes several at once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions.storage import Files
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    """A table whose every version is complete; readers see the last that was written whole."""
 
-    def _file(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.files = Files(spark, self.path)
 
     def versions(self) -> list[int]:
-        top = self._file(self.path)
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
-        found = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
-        return [v for v in found if fs.exists(self._file(f"{self.path}/v{v}/_SUCCESS"))]
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The last version, or the last before a number."""
-        found = [v for v in self.versions() if before is None or v < before]
+        found = sorted(int(n[1:]) for n in self.files.names() if n[:1] == "v" and n[1:].isdigit())
+        return [v for v in found if self.files.exists(f"v{v}/_SUCCESS")]
+
+    def read(self, upto: int | None = None) -> DataFrame | None:
+        """The last version, or the last that is no later than a number."""
+        found = [v for v in self.versions() if upto is None or v <= upto]
         return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
     def write(self, rows: DataFrame, version: int | None = None) -> int:
@@ -33,7 +33,92 @@ class VersionedTable:
 
     def drop_before(self, keep: int = 2) -> None:
         """All but the last versions."""
-        top = self._file(self.path)
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
         for v in self.versions()[:-keep]:
-            fs.delete(self._file(f"{self.path}/v{v}"), True)
+            self.files.delete(f"v{v}")
+
+
+class ChangeTable:
+    """A table of rows that belong to documents, kept as changes.
+
+    Version v adds rows and names the documents whose rows of earlier versions
+    are gone, so that a change costs what changes and not the whole table. A row
+    is live if no later version names its document. compact() makes one version
+    of what is live.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", partition: str | None = None):
+        self.spark, self.path, self.key, self.partition = spark, path.rstrip("/"), key, partition
+        self.files = Files(spark, self.path)
+
+    def versions(self) -> list[int]:
+        found = sorted(int(n[1:]) for n in self.files.names() if n[:1] == "v" and n[1:].isdigit())
+        return [v for v in found if self.files.exists(f"v{v}/rows/_SUCCESS")]
+
+    def write(self, rows: DataFrame, gone: DataFrame | None, version: int) -> int:
+        """Version ``version`` (anew, if it is there): ``gone`` are keys whose earlier rows end; the rows' success mark comes last."""
+        at = f"{self.path}/v{version}"
+        self.files.delete(f"v{version}")
+        if gone is not None:
+            gone.select(self.key).distinct().write.parquet(f"{at}/gone")
+        writer = rows.write
+        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{at}/rows")
+        return version
+
+    def read(self, upto: int | None = None) -> DataFrame | None:
+        """The live rows of the last version, or of a given one."""
+        own = [v for v in self.versions() if upto is None or v <= upto]
+        if not own:
+            return None
+        base = max((v for v in own if self.files.exists(f"v{v}/base")), default=own[0])
+        own = [v for v in own if v >= base]
+        tables = [self.spark.read.parquet(f"{self.path}/v{v}/rows").withColumn("_version", F.lit(v)) for v in own]
+        rows = tables[0]
+        for t in tables[1:]:
+            rows = rows.unionByName(t, allowMissingColumns=True)
+        ended = [self.spark.read.parquet(f"{self.path}/v{v}/gone").withColumn("_ended", F.lit(v)) for v in own[1:] if self.files.exists(f"v{v}/gone")]
+        if not ended:
+            return rows.drop("_version")
+        gone = ended[0]
+        for t in ended[1:]:
+            gone = gone.unionByName(t)
+        gone = gone.groupBy(self.key).agg(F.max("_ended").alias("_ended"))
+        live = F.col("_ended").isNull() | (F.col("_version") >= F.col("_ended"))
+        return rows.join(gone, self.key, "left").where(live).drop("_version", "_ended")
+
+    def compact(self, keep: bool = False) -> int | None:
+        """One version of all live rows, after which earlier ones are deleted."""
+        own = self.versions()
+        rows = self.read()
+        if rows is None:
+            return None
+        version = own[-1] + 1
+        writer = rows.write
+        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/v{version}/rows")
+        self.files.write(f"v{version}/base", {"from": own[-1]})
+        if not keep:
+            for v in own:
+                self.files.delete(f"v{v}")
+        return version
+
+
+class Manifest:
+    """Which versions of a workspace's tables belong together. A crawl that ends early leaves the last manifest in force."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.files = Files(spark, f"{path.rstrip('/')}/manifest")
+
+    def numbers(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names() if n.endswith(".json") and n.removesuffix(".json").isdigit())
+
+    def current(self) -> dict[str, object]:
+        found = self.numbers()
+        return dict(self.files.read(f"{found[-1]}.json")) if found else {}
+
+    def publish(self, **changed) -> int:
+        number = max(self.numbers(), default=0) + 1
+        self.files.write(f"{number}.json", {**self.current(), **changed})
+        return number
+
+    def drop_before(self, keep: int = 1) -> None:
+        for n in self.numbers()[:-keep]:
+            self.files.delete(f"{n}.json")

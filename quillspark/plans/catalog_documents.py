@@ -71,7 +71,7 @@ def invalid_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GENITIVE_SQL = "[" + ", ".join(f"'{m}'" for m in spans.GENITIVES) + "]"
 
 
-@query(f"""SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') || '|' || day(o_orderdate) || strftime(o_orderdate, '.%m.%Y') || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' || strftime(o_orderdate, '%d-%m-%Y') || '|'
+@query(f"""SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') || '|' || day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' || strftime(o_orderdate, '%d-%m-%Y') || '|'
 || strftime(o_orderdate, '%d/%m/%Y') || '|' || day(o_orderdate) || ' ' || ({_GENITIVE_SQL})[month(o_orderdate)] || ' ' || year(o_orderdate) AS variants FROM orders""")
 def date_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, _ORDERS).select("o_orderkey", F.array_join(spans.date_variants(F.col("o_orderdate")), "|").alias("variants"))
@@ -165,7 +165,7 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in overlapping chunks."""
-    return chunking.chunked(chunking.text_sections(table(spark, sf_dir, "documents"))).select("doc_id", "ordinal", "text", "char_start", "char_end")
+    return chunking.chunked_texts(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "text", "char_start", "char_end")
 
 
 @query()

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.functions.storage import shared_folder
 from quillspark.functions.tables import table
 from quillspark.operators import chunking, filters, highlight, index, rank, vectors
+from quillspark.operators.postings import PostingIndex
 from quillspark.plans.query import analyze, clauses
 
 QUERIES, SQL = {}, {}
@@ -183,8 +185,25 @@ def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.term_frequencies(_chunks(spark, sf_dir))
 
 
-def _matches(spark: SparkSession, sf_dir: str, text: str, strict: bool = True) -> DataFrame:
-    return index.matches(_chunks(spark, sf_dir), clauses(analyze(text), strict))
+_INDEXES: dict[tuple[str, str], PostingIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str = "documents") -> PostingIndex:
+    """The stored index of a table, built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+    if key not in _INDEXES:
+        rows = {
+            "documents": lambda: _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"),
+            "conversations": lambda: table(spark, sf_dir, "conversations").select(F.col("turn").cast("long").alias("chunk_id"), F.col("conv_id").alias("doc_id"), "text"),
+        }[name]()
+        made = PostingIndex(spark, shared_folder(spark, f"index-{name}"))
+        made.write(rows, norm=False)
+        _INDEXES[key] = made
+    return _INDEXES[key]
+
+
+def _matches(spark: SparkSession, sf_dir: str, text: str, strict: bool = True, allowed: DataFrame | None = None) -> DataFrame:
+    return _index(spark, sf_dir).matches(clauses(analyze(text), strict), allowed)
 
 
 _AND = _sql_scored(["the", "and"])
@@ -199,9 +218,7 @@ def exact_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 st AS (SELECT count(*) AS n, avg(len(toks)) AS mean, sum((tf > 0)::INT) AS df FROM c)
 SELECT doc_id, tf::BIGINT AS tf, round(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / mean))), 6) AS score FROM c, st WHERE tf > 0""")
 def exact_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrase = index.Phrase("folded", ("of", "the"))
-    found = _matches(spark, sf_dir, '"of the"')
-    return found.select("doc_id", index.occurrences(phrase).cast("long").alias("tf"), F.round("score", 6).alias("score"))
+    return _matches(spark, sf_dir, '"of the"').select("doc_id", F.col("tf_0").alias("tf"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_sql_scored(['with', 'idiot'], 'OR')} SELECT doc_id, round(score, 6) AS score FROM f")
@@ -260,7 +277,7 @@ def filter_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_META_SQL}, {_AND} SELECT f.doc_id, round(score, 6) AS score FROM f JOIN m USING (doc_id) WHERE library = 'en' AND extension IN ('.pdf', '.txt') AND NOT used_ocr AND m.day >= DATE '2018-02-01'")
 def filter_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = filters.Filters(libraries=["en"], extensions=["PDF", ".txt"], used_ocr=False, modified_from=date(2018, 2, 1))
-    return _matches(spark, sf_dir, "the and").join(_filtered(spark, sf_dir, f), "doc_id", "left_semi").select("doc_id", F.round("score", 6).alias("score"))
+    return _matches(spark, sf_dir, "the and", allowed=_filtered(spark, sf_dir, f)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT DISTINCT source FROM documents WHERE source <> '' ORDER BY 1 LIMIT 500")
@@ -274,8 +291,7 @@ f AS (SELECT conv_id, turn, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * (t
 SELECT conv_id, turn, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, turn) AS rank FROM f) WHERE rank <= 2""")
 def top_chunks_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best turns of each conversation."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), "text")
-    found = index.matches(index.with_tokens(turns), clauses(analyze("the"))).withColumn("score", F.round("score", 9))
+    found = _index(spark, sf_dir, "conversations").matches(clauses(analyze("the"))).withColumn("score", F.round("score", 9))
     best = rank.best_chunks(found, 2)
     return best.select(F.col("doc_id").alias("conv_id"), F.col("chunk_id").alias("turn"), "rank", F.round("score", 6).alias("score"))
 
@@ -410,7 +426,7 @@ def dedupe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def highlight_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = analyze("the trash")
-    found = _matches(spark, sf_dir, "the trash")
+    found = _docs(spark, sf_dir).join(_matches(spark, sf_dir, "the trash").select("doc_id"), "doc_id", "left_semi")
     return found.select("doc_id", highlight.snippet_udf(q.highlights)(F.col("text")).alias("snippet"))
 
 
@@ -427,7 +443,7 @@ def contains_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact search for two words among the documents of one source: the first page by relevance."""
     f = filters.Filters(sources=["src0"])
-    found = _matches(spark, sf_dir, "the and").join(_filtered(spark, sf_dir, f), "doc_id", "left_semi")
+    found = _matches(spark, sf_dir, "the and", allowed=_filtered(spark, sf_dir, f))
     return rank.page(rank.by_document(found), rank.by_relevance(), 20)
 
 

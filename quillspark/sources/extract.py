@@ -1,4 +1,4 @@
-"""Files to sections: text, CSV, HTML, e-mail, ZIP, Word, Excel, PowerPoint, RTF.
+"""Files to sections: text, CSV, HTML, e-mail, ZIP, PDF, RTF, images' headers, Word, Excel, PowerPoint and Outlook, old and new.
 
 Each reader is a generator of sections from bytes; a table of readers by type
 and extension, highest priority first, is tried until one succeeds. A file
@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame
 
 from quillspark.functions.text import clean_text, fold_text
 from quillspark.sources.detect import decode, file_type, looks_like_text
+from quillspark.sources.images import read_image
+from quillspark.sources.legacy import read_doc, read_msg, read_ppt, xls_sheets
+from quillspark.sources.pdf import read_pdf
 
 LONG_PARAGRAPH = 4000
 
@@ -33,6 +36,7 @@ class Extracted:
     sections: list[dict] = field(default_factory=list)
     attachments: list[tuple[str, bytes]] = field(default_factory=list)
     meta: dict[str, str] = field(default_factory=dict)
+    warnings: list[str] = field(default_factory=list)  # what was left out, and why
 
     def add(self, text: str, kind: str = "paragraph", **more) -> None:
         if text.strip():
@@ -202,6 +206,8 @@ def read_mail(data: bytes, out: Extracted) -> None:
         total += len(raw)
         if len(out.attachments) < MOST_ATTACHMENTS and total <= MOST_ATTACHED:
             out.attachments.append((name, raw))
+        else:
+            out.warnings.append(f"attachment beyond limits: {name}")
 
 
 def read_zip(data: bytes, out: Extracted) -> None:
@@ -215,7 +221,11 @@ def read_zip(data: bytes, out: Extracted) -> None:
             base = m.filename.rpartition("/")[2]
             bomb = m.file_size >= BOMB_BYTES and m.file_size > BOMB_RATIO * max(1, m.compress_size)
             junk = base.startswith((".", "~$")) or m.filename.startswith("__MACOSX/") or base.lower() in ("thumbs.db", "desktop.ini")
-            if bomb or junk or m.flag_bits & 1 or len(out.attachments) >= MOST_MEMBERS or total + m.file_size > MOST_UNPACKED:
+            reasons = {"bomb": bomb, "encrypted": m.flag_bits & 1, "beyond limits": len(out.attachments) >= MOST_MEMBERS or total + m.file_size > MOST_UNPACKED}
+            if junk:
+                continue
+            if why := next((k for k, v in reasons.items() if v), None):
+                out.warnings.append(f"member {why}: {m.filename}")
                 continue
             total += m.file_size
             out.attachments.append((m.filename, z.read(m)))
@@ -416,6 +426,39 @@ def read_rtf(data: bytes, out: Extracted) -> None:
         out.add(clean_text(par))
 
 
+def _read_msg(data: bytes, out: Extracted) -> None:
+    read_msg(data, out, rtf=read_rtf, page=html_to_text)
+
+
+def _cell(value: object) -> str:
+    """A cell of an old workbook as text."""
+    if isinstance(value, bool):
+        return "PRAWDA" if value else "FAŁSZ"
+    if isinstance(value, float):
+        return str(int(value)) if value == int(value) else repr(value)
+    if isinstance(value, datetime):
+        return value.date().isoformat() if value.time().isoformat() == "00:00:00" else value.replace(microsecond=0).isoformat(" ")
+    return clean_text(str(value))
+
+
+def read_xls(data: bytes, out: Extracted) -> None:
+    for title, cells in xls_sheets(data):
+        rows = [(r, {c: t for c, v in sorted(row.items()) if (t := _cell(v))}, row) for r, row in sorted(cells.items())]
+        rows = [x for x in rows if x[1]]
+        if not rows:
+            continue
+        out.add(f"Arkusz: {title}", "sheet", sheet=title)
+        header = None
+        _, first, raw = rows[0]
+        if 2 * sum(isinstance(raw[c], str) for c in first) > len(first):
+            header = [first.get(i, "") for i in range(max(first) + 1)]
+            out.add(" | ".join(filter(None, header)), "table_header", sheet=title)
+            rows = rows[1:]
+        label = " | ".join(filter(None, header or [])) or None
+        for number, line, _ in rows:
+            out.add(row_text([line.get(i, "") for i in range(max(line) + 1)], header), "table_row", row=number + 1, sheet=title, heading=label)
+
+
 @dataclass(frozen=True)
 class Reader:
     name: str
@@ -434,13 +477,19 @@ def _reader(name: str, priority: int, extensions: str, read, types: str = "") ->
 
 READERS = [
     _reader("csv", 120, ".csv .tsv", read_csv),
-    _reader("docx", 110, ".docx", read_docx),
-    _reader("pptx", 110, ".pptx", read_pptx),
+    _reader("pdf", 110, ".pdf", read_pdf),
+    _reader("docx", 110, ".docx .docm", read_docx),
+    _reader("pptx", 110, ".pptx .pptm .ppsx .ppsm", read_pptx),
+    _reader("msg", 110, ".msg", _read_msg),
+    _reader("xls", 110, ".xls .xlt", read_xls),
     _reader("xlsx", 110, ".xlsx .xlsm", read_xlsx),
     _reader("eml", 110, ".eml .mht .mhtml", read_mail),
     _reader("html", 100, ".html .htm .xhtml", read_html),
     _reader("rtf", 100, ".rtf", read_rtf, "text/rtf"),
     _reader("zip", 100, ".zip", read_zip),
+    _reader("image", 90, ".png .jpg .jpeg .tif .tiff .bmp .gif .webp", read_image),
+    _reader("doc", 60, ".doc .dot", read_doc),
+    _reader("ppt", 60, ".ppt .pps .pot", read_ppt),
     _reader("text", 90, ".txt .log .md .json .xml .ini .cfg .yaml .yml", read_text),
 ]
 
@@ -461,12 +510,14 @@ def extract(content: bytes | None, name: str) -> tuple[Extracted, str, str | Non
         try:
             reader.read(data, out)
             return out, reader.name, None
+        except PermissionError:
+            return Extracted(), "", "password_protected"
         except Exception as e:  # any defect of a file is its own, and is reported with it
             error = f"corrupted: {type(e).__name__}"
     return Extracted(), "", error
 
 
-SECTIONS = "source_id string, external_id string, ord int, text string, kind string, page int, sheet string, row int, heading string, origin string, parser string, error string"
+SECTIONS = "source_id string, external_id string, ord int, text string, kind string, page int, sheet string, row int, heading string, origin string, parser string, error string, warnings string, pages int"
 MOST_DEPTH = 3
 
 
@@ -489,7 +540,7 @@ def sections(files: DataFrame) -> DataFrame:
             rows = []
             for source, key, name, content in zip(b["source_id"], b["external_id"], b["name"], b["content"], strict=True):
                 for doc, out, parser, error in _documents(content, key, name):
-                    base = {"source_id": source, "external_id": doc, "parser": parser, "error": error, "origin": "native"}
+                    base = {"source_id": source, "external_id": doc, "parser": parser, "error": error, "origin": "native", "warnings": "; ".join(out.warnings) or None, "pages": int(out.meta.get("pages") or 0) or None}
                     rows += [{**base, "ord": i, **s} for i, s in enumerate(out.sections)] or [base]
             yield pd.DataFrame(rows, columns=names, dtype=object)
 

@@ -1,7 +1,7 @@
 """Continuous indexing: a stream of document rows into chunk and posting tables.
 
-Each micro-batch replaces the chunks of the documents it holds. The tables are
-versions in folders: a batch writes the next version and then its marker, so
+Each micro-batch replaces the chunks of the documents it holds: it writes them
+as the next version of a table of changes and then that version's marker, so
 that a batch that is run again after a failure writes the same version anew.
 """
 
@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.operators.chunking import Limits, chunked, text_sections
-from quillspark.operators.incremental import replaced
-from quillspark.operators.versions import VersionedTable
+from quillspark.operators.chunking import Limits, chunked_texts
+from quillspark.operators.versions import ChangeTable
 
 
 def latest(batch: DataFrame, version: str = "modified_at") -> DataFrame:
@@ -22,22 +21,17 @@ def latest(batch: DataFrame, version: str = "modified_at") -> DataFrame:
     return batch.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
-class ChunkTable(VersionedTable):
-    """A chunk table that micro-batches of documents update."""
+class ChunkTable(ChangeTable):
+    """A chunk table that micro-batches of documents change; a batch writes its own chunks only."""
 
     def __init__(self, spark: SparkSession, path: str, limits: Limits | None = None):
         super().__init__(spark, path)
         self.limits = limits
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """The version batch_id + 1: earlier chunks, those of the batch's documents replaced."""
+        """The version batch_id + 1: chunks of the batch's documents, in place of their earlier ones."""
         docs = latest(batch)
-        fresh = chunked(text_sections(docs), self.limits)
-        old = self.read(before=batch_id + 1)
-        if old is not None:
-            gone = docs.select("doc_id").distinct()
-            fresh = replaced(old.join(gone, "doc_id", "left_anti"), fresh)
-        self.write(fresh, batch_id + 1)
+        self.write(chunked_texts(docs, limits=self.limits), docs.select("doc_id"), batch_id + 1)
 
 
 def ingest(stream: DataFrame, table: ChunkTable, checkpoint: str) -> StreamingQuery:

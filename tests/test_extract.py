@@ -45,7 +45,7 @@ def test_mail_and_archives():
     assert out.attachments == [("in.txt", b"inner text")]
     found, out, _ = texts("z.zip", zipped({"d/a.txt": "x", ".hidden": "y", "bomb": "0" * 11 * 2**20}))
     assert len(found) == 1 and [n for n, _ in out.attachments] in (["d/a.txt"], ["d/a.txt", "bomb"])
-    assert extract.extract(b"%PDF-1.4", "x.pdf")[2] == "unsupported" and extract.extract(b"PK\x03\x04junk", "x.zip")[2].startswith("corrupted")
+    assert extract.extract(b"7z\xbc\xaf\x27\x1c", "x.7z")[2] == "unsupported" and extract.extract(b"PK\x03\x04junk", "x.zip")[2].startswith("corrupted")
 
 
 def test_office():

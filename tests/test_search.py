@@ -87,7 +87,8 @@ def test_repeats_are_left_out(spark):
 def test_highlighting():
     assert highlight.marked("Łódź i lodz", highlight.find("Łódź i lodz", ["łódź"])) == "[[hl]]Łódź[[/hl]] i [[hl]]lodz[[/hl]]"
     assert highlight.find("nr 12 34-56 x", ["123456"]) == [(3, 11)] and highlight.find("karta, łódzka", ["karta lodzka"]) == [(0, 13)]
-    assert highlight.merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
+    assert highlight.find("aa bb cc, dd ee", ["aa bb", "bb cc", "ee"]) == [(0, 8), (13, 15)]
+    assert highlight.find("12-34 56 i 123456 i 1234567", ["123456"]) == [(0, 8), (11, 17)]
     long = "słowo " * 100 + "cel " + "inne " * 100
     s = highlight.snippet(long, ["cel"])
     assert s.startswith("...") and s.endswith("...") and "[[hl]]cel[[/hl]]" in s and len(s) < 350
