@@ -125,7 +125,7 @@ class Model:
 
 
 def fit(
-    train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 2000, min_rows: int = 2, min_share: float = 0.005, bits_per_gram: int = 12, hashes: int = 3
+    train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 2000, min_rows: int = 2, min_share: float = 0.02, bits_per_gram: int = 12, hashes: int = 3
 ) -> Model:
     """A model of the languages in ``train``, from about ``max_rows`` rows of each.
 
@@ -143,16 +143,18 @@ def fit(
     letters = _letters()
 
     def count(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", 500_000)):
             langs = b.column("lang").to_pylist()
             g, owner, _ = grams(b.column("text").to_pylist(), letters)
-            pairs = np.unique(np.stack([owner.astype(np.uint64), g]), axis=1)
-            frame = pd.DataFrame({"lang": np.array(langs, object)[pairs[0].astype(np.int64)], "gram": pairs[1].view(np.int64)})
+            order = np.lexsort((g, owner))
+            g, owner = g[order], owner[order]
+            first = np.append(True, (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])) if len(g) else np.zeros(0, bool)
+            frame = pd.DataFrame({"lang": np.array(langs, object)[owner[first]], "gram": g[first].view(np.int64)})
             yield pa.RecordBatch.from_pandas(frame.groupby(["lang", "gram"]).size().reset_index(name="n"), preserve_index=False)
 
     few = stored(rows.where(low).dropDuplicates(["lang", "text"]), "langid-sample")
     texts = {r.lang: r["count"] for r in few.groupBy("lang").count().collect()}
-    seen = few.mapInArrow(count, "lang string, gram long, n long")
+    seen = few.mapInArrow(tidy(count), "lang string, gram long, n long")
     least = F.create_map(*(F.lit(x) for k in sizes for x in (k, max(float(min_rows), min_share * texts.get(k, 0)))))
     seen = seen.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("lang")])
     table_ = seen.select("lang", "gram").toArrow()  # n-grams of the sample
