@@ -1,13 +1,27 @@
-"""OCR results as tables: cache, pages to sections, lines of recognised words. Engines are a plug point."""
+"""Recognition of text in images: engines, the cache of what they found, pages to sections.
+
+An engine is a program, a library or a service; it is made on each executor by
+a factory. A renderer turns a file into the images of its pages.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import base64
+import csv
+import io
+import subprocess
+import tempfile
+from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.http import Client, Failed
+
 # Fixed value: the order in which engines are tried.
 ENGINES = ("tesseract", "easyocr", "rapidocr")
 KEY = ["content_hash", "engine", "engine_version", "dpi"]
@@ -21,6 +35,157 @@ def pick_engine(available: set[str], wanted: str = "auto") -> str | None:
     return next((e for e in order if e in available), None)
 
 
+class Engine(ABC):
+    """Recognises the text of one image."""
+
+    name: str
+    version = "1"
+
+    @abstractmethod
+    def available(self) -> bool: ...
+
+    @abstractmethod
+    def read(self, image: bytes) -> tuple[str, float | None]:
+        """Text and mean confidence in [0, 1]."""
+
+
+def text_of_words(table: str) -> tuple[str, float | None]:
+    """A program's table of words (tab-separated, a header) to lines and the mean confidence of its words."""
+    lines: dict[tuple[str, ...], list[str]] = {}
+    scores = []
+    for row in csv.DictReader(io.StringIO(table), delimiter="\t", quoting=csv.QUOTE_NONE):
+        word, score = (row.get("text") or "").strip(), float(row.get("conf") or -1)
+        if word and score >= 0:
+            lines.setdefault(tuple(row.get(k) or "" for k in ("block_num", "par_num", "line_num")), []).append(word)
+            scores.append(score)
+    return "\n".join(" ".join(w) for w in lines.values()), sum(scores) / len(scores) / 100 if scores else None
+
+
+@dataclass
+class Program(Engine):
+    """A command that reads an image file and writes a table of words to its output."""
+
+    command: tuple[str, ...] = ("tesseract", "{image}", "stdout", "-l", "pol+eng", "tsv")
+    name: str = "tesseract"
+    timeout: float = 120.0
+
+    def available(self) -> bool:
+        import shutil
+
+        return shutil.which(self.command[0]) is not None
+
+    def read(self, image: bytes) -> tuple[str, float | None]:
+        with tempfile.TemporaryDirectory() as folder:  # one image, gone after the call
+            path = Path(folder, "page")
+            path.write_bytes(image)
+            done = subprocess.run([c.replace("{image}", str(path)) for c in self.command], capture_output=True, timeout=self.timeout, check=False)
+        if done.returncode:
+            raise OSError(f"{self.name} ended with {done.returncode}")
+        return text_of_words(done.stdout.decode("utf-8", "replace"))
+
+
+@dataclass
+class Library(Engine):
+    """A function of an installed package: image bytes to [(text, confidence)] in reading order."""
+
+    name: str
+    module: str
+    call: Callable[[bytes], list[tuple[str, float]]]
+
+    def available(self) -> bool:
+        import importlib.util
+
+        return importlib.util.find_spec(self.module) is not None
+
+    def read(self, image: bytes) -> tuple[str, float | None]:
+        found = [(t.strip(), c) for t, c in self.call(image) if t.strip()]
+        return "\n".join(t for t, _ in found), sum(c for _, c in found) / len(found) if found else None
+
+
+@dataclass
+class Service(Engine):
+    """A recognition service: {"image": base64, "lang"} to {"text" or "lines": [{"text", "confidence"}], "confidence"}."""
+
+    client: Client
+    name: str = "remote"
+    language: str = "pol"
+    path: str = "ocr"
+
+    def available(self) -> bool:
+        try:
+            self.client.policy.check(self.client.base, self.client.category)
+        except PermissionError:
+            return False
+        return True
+
+    def read(self, image: bytes) -> tuple[str, float | None]:
+        answer = self.client.request("POST", self.path, {"image": base64.b64encode(image).decode(), "lang": self.language}).json()
+        if isinstance(lines := answer.get("lines"), list):
+            found = [(str(x.get("text", "")).strip(), x.get("confidence")) for x in lines if str(x.get("text", "")).strip()]
+            scores = [float(c) for _, c in found if c is not None]
+            return "\n".join(t for t, _ in found), sum(scores) / len(scores) if scores else None
+        if not isinstance(answer.get("text"), str):
+            raise Failed("an answer without text")
+        return answer["text"], answer.get("confidence")
+
+
+PAGES = "page int, text string, confidence double, warning string, truncated boolean"
+
+
+def run(files: DataFrame, engine: Callable[[], Engine], render: Callable[[bytes, list[int] | None], Iterator[tuple[int, bytes]]], most_pages: int = 200) -> DataFrame:
+    """KEY, content and wanted (page numbers, null: all) to KEY and PAGES.
+
+    A page that fails is a row with a warning and no text; pages beyond
+    ``most_pages`` of a file are left out, and its rows say so.
+    """
+    keys = files.select(*KEY).schema
+
+    def each(batches):
+        reader = engine()
+        for b in batches:
+            rows = []
+            for *key, data, wanted in b[[*KEY, "content", "wanted"]].itertuples(index=False):
+                pages, n, cut = [], 0, False
+                try:
+                    for number, image in render(data, None if wanted is None else [int(p) for p in wanted]):
+                        if n >= most_pages:
+                            cut = True
+                            break
+                        n += 1
+                        try:
+                            pages.append((number, *reader.read(image), None))
+                        except (OSError, ValueError, subprocess.SubprocessError) as e:
+                            pages.append((number, None, None, f"page {number}: {type(e).__name__}"))
+                except (OSError, ValueError) as e:
+                    pages.append((0, None, None, f"not rendered: {type(e).__name__}"))
+                rows += [(*key, *p, cut) for p in pages]
+            yield pd.DataFrame(rows, columns=[*KEY, *(f.split()[0] for f in PAGES.split(", "))], dtype=object)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", " + PAGES
+    return files.select(*KEY, "content", "wanted").mapInPandas(each, schema)
+
+
+def image_pages(data: bytes, wanted: list[int] | None) -> Iterator[tuple[int, bytes]]:
+    """The renderer of image files: one page, the file itself."""
+    if wanted is None or 1 in wanted:
+        yield 1, data
+
+
+def with_cache(files: DataFrame, cache: DataFrame, engine: Callable[[], Engine], render, most_pages: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Pages (content_hash, page, text, confidence, warning) of all files, and rows to add to the cache.
+
+    Files of the cache are not recognised again; results that are cut short or
+    have failed pages, or are of some pages only, don't enter it.
+    """
+    known, rest = cached(files, cache)
+    found = run(rest, engine, render, most_pages)
+    known = known.select("content_hash", "page", "text", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("warning"))
+    pages = known.unionByName(found.select("content_hash", "page", "text", "confidence", "warning"))
+    whole = rest.where("wanted IS NULL").select(*KEY)
+    sound = found.join(found.where("truncated OR warning IS NOT NULL").select(*KEY).distinct(), KEY, "left_anti").join(whole.distinct(), KEY, "left_semi")
+    return pages, for_cache(sound)
+
+
 def cached(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (with KEY) to pages (content_hash, page, text) that the cache has, and the files it lacks."""
     hits = files.select(*KEY).distinct().join(cache.select(*KEY, "text"), KEY)

@@ -9,7 +9,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import redact
+from quillspark.functions.storage import Files
+from quillspark.functions.text import redact, redacted, redacted_text
 
 
 def report_json(report: DataFrame) -> str:
@@ -44,6 +45,25 @@ def recent_errors(errors: DataFrame, limit: int = 1000) -> DataFrame:
     return errors.orderBy(F.desc("created_at"), F.desc("id")).limit(limit).withColumn("message", redact(F.col("message")))
 
 
+def errors_csv(errors: DataFrame, limit: int = 1000) -> bytes:
+    """recent_errors() for office programs."""
+    columns = ["created_at", "stage", "code", "source_id", "file_name", "message"]
+    rows = recent_errors(errors, limit).select(*columns).collect()
+    return office_csv([(columns, [tuple(r) for r in rows])])
+
+
+def diagnostics(report: DataFrame, details: DataFrame, errors: DataFrame, facts: dict, log: str = "", tail: int = 200) -> bytes:
+    """A ZIP of coverage, errors, facts of the environment and the end of a log, all without secrets."""
+    lines = [redacted_text(x) for x in log.splitlines()[-tail:]]
+    return bundle({
+        "coverage.json": report_json(report),
+        "coverage.csv": coverage_csv(report, details),
+        "errors.csv": errors_csv(errors),
+        "environment.json": json.dumps(redacted("", facts), ensure_ascii=False, indent=2, sort_keys=True, default=str),
+        "log.txt": "\n".join(lines),
+    })
+
+
 def bundle(parts: dict[str, bytes | str]) -> bytes:
     """A ZIP of named parts."""
     out = io.BytesIO()
@@ -53,8 +73,16 @@ def bundle(parts: dict[str, bytes | str]) -> bytes:
     return out.getvalue()
 
 
-def snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
-    """All tables written under one folder; a marker last, so that a snapshot without it is not complete."""
+ROOM = 1.3  # fixed value: free space that a snapshot needs, in sizes of what is copied
+
+
+def snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str, size: int | None = None) -> None:
+    """All tables written under one folder; a marker last, so that a snapshot without it is not complete.
+
+    Where their ``size`` in bytes is given, too little free space is an error before anything is written.
+    """
+    if size is not None and (free := Files(spark, path.rpartition("/")[0] or "/").free_bytes()) < ROOM * size:
+        raise OSError(f"{free} bytes are free, {int(ROOM * size)} are needed")
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
     names = spark.createDataFrame([(n,) for n in sorted(tables)], "name string")
@@ -66,6 +94,12 @@ def restore(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """Complete snapshots in a folder."""
+    files = Files(spark, folder)
+    return [n for n in files.names() if files.exists(f"{n}/complete/_SUCCESS")]
+
+
 def compacted(df: DataFrame, path: str, files: int) -> None:
     """The table rewritten to a number of files."""
     df.repartition(files).write.parquet(path)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.functions.storage import Files
 
@@ -56,14 +59,22 @@ class ChangeTable:
 
     def write(self, rows: DataFrame, gone: DataFrame | None, version: int) -> int:
         """Version ``version`` (anew, if it is there): ``gone`` are keys whose earlier rows end; the rows' success mark comes last."""
-        at = f"{self.path}/v{version}"
         self.files.delete(f"v{version}")
         if gone is not None:
-            gone.select(self.key).distinct().write.parquet(f"{at}/gone")
-        writer = rows.write
-        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{at}/rows")
+            gone.select(self.key).distinct().write.parquet(f"{self.path}/v{version}/gone")
+        self._write(rows, version)
         return version
 
+    def _write(self, rows: DataFrame, version: int) -> None:
+        """Rows with their schema beside them, as a partitioned table without rows has no file that tells it."""
+        self.files.write(f"v{version}/schema", json.loads(rows.schema.json()))
+        writer = rows.write
+        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/v{version}/rows")
+
+    def _rows(self, version: int) -> DataFrame:
+        schema = StructType.fromJson(self.files.read(f"v{version}/schema"))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/v{version}/rows").select(schema.names)
+
     def read(self, upto: int | None = None) -> DataFrame | None:
         """The live rows of the last version, or of a given one."""
         own = [v for v in self.versions() if upto is None or v <= upto]
@@ -71,7 +82,7 @@ class ChangeTable:
             return None
         base = max((v for v in own if self.files.exists(f"v{v}/base")), default=own[0])
         own = [v for v in own if v >= base]
-        tables = [self.spark.read.parquet(f"{self.path}/v{v}/rows").withColumn("_version", F.lit(v)) for v in own]
+        tables = [self._rows(v).withColumn("_version", F.lit(v)) for v in own]
         rows = tables[0]
         for t in tables[1:]:
             rows = rows.unionByName(t, allowMissingColumns=True)
@@ -86,20 +97,23 @@ class ChangeTable:
         return rows.join(gone, self.key, "left").where(live).drop("_version", "_ended")
 
     def compact(self, keep: bool = False) -> int | None:
-        """One version of all live rows, after which earlier ones are deleted."""
+        """One version of all live rows; earlier ones are deleted at once, unless they are to be kept until drop_before()."""
         own = self.versions()
         rows = self.read()
         if rows is None:
             return None
         version = own[-1] + 1
-        writer = rows.write
-        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/v{version}/rows")
+        self._write(rows, version)
         self.files.write(f"v{version}/base", {"from": own[-1]})
         if not keep:
-            for v in own:
-                self.files.delete(f"v{v}")
+            self.drop_before(version)
         return version
 
+    def drop_before(self, version: int) -> None:
+        for v in self.versions():
+            if v < version:
+                self.files.delete(f"v{v}")
+
 
 class Manifest:
     """Which versions of a workspace's tables belong together. A crawl that ends early leaves the last manifest in force."""

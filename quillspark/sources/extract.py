@@ -433,29 +433,29 @@ def _read_msg(data: bytes, out: Extracted) -> None:
 def _cell(value: object) -> str:
     """A cell of an old workbook as text."""
     if isinstance(value, bool):
-        return "PRAWDA" if value else "FAŁSZ"
+        return "prawda" if value else "falsz"
     if isinstance(value, float):
-        return str(int(value)) if value == int(value) else repr(value)
+        return cell_text(repr(value), "n", False)
     if isinstance(value, datetime):
         return value.date().isoformat() if value.time().isoformat() == "00:00:00" else value.replace(microsecond=0).isoformat(" ")
     return clean_text(str(value))
 
 
 def read_xls(data: bytes, out: Extracted) -> None:
+    """Rows under a header if the sheet's first row has text alone, else under the sheet's name."""
     for title, cells in xls_sheets(data):
-        rows = [(r, {c: t for c, v in sorted(row.items()) if (t := _cell(v))}, row) for r, row in sorted(cells.items())]
-        rows = [x for x in rows if x[1]]
-        if not rows:
+        texts = {r: {c: t for c, v in sorted(row.items()) if (t := _cell(v))} for r, row in sorted(cells.items())}
+        texts = {r: row for r, row in texts.items() if row}
+        if not texts:
             continue
         out.add(f"Arkusz: {title}", "sheet", sheet=title)
         header = None
-        _, first, raw = rows[0]
-        if 2 * sum(isinstance(raw[c], str) for c in first) > len(first):
+        if len(texts) > 1 and all(isinstance(v, str) for v in cells.get(0, {0: None}).values()):
+            first = texts.pop(0)
             header = [first.get(i, "") for i in range(max(first) + 1)]
             out.add(" | ".join(filter(None, header)), "table_header", sheet=title)
-            rows = rows[1:]
-        label = " | ".join(filter(None, header or [])) or None
-        for number, line, _ in rows:
+        label = " | ".join(filter(None, header or [])) or title
+        for number, line in texts.items():
             out.add(row_text([line.get(i, "") for i in range(max(line) + 1)], header), "table_row", row=number + 1, sheet=title, heading=label)
 
 

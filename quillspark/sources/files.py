@@ -65,9 +65,34 @@ def scan(spark: SparkSession, crawl: Crawl, content: bool = True) -> DataFrame:
         F.concat_ws("-", F.col("length"), F.unix_timestamp(F.col("modificationTime").cast("timestamp"))).alias("etag"),
         large.alias("too_large"),
         *([F.sha2(body, 256).alias("content_hash")] if content else []),
-        body.alias("content"),
+        *([body.alias("content")] if content else [F.lit(None).cast("string").alias("content_hash")]),
+        F.col("path").alias("location"),
     )
 
 
+MOST_PATHS = 20_000
+
+
+def contents_of(spark: SparkSession, crawl: Crawl, todo: DataFrame) -> DataFrame:
+    """scan() rows that were chosen, with ``content`` (null if too large) and ``note`` (why else it is missing).
+
+    Up to MOST_PATHS files are opened by name; for more the folder is read as a
+    whole and joined, as after a first crawl nearly all are wanted.
+    """
+    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+    wanted = todo.where("NOT too_large")
+    paths = [r.location for r in wanted.select("location").limit(MOST_PATHS + 1).collect()]
+    if not paths:
+        bodies = spark.createDataFrame([], "location string, content binary")
+    elif len(paths) <= MOST_PATHS:
+        bodies = raw.load(paths).select(F.col("path").alias("location"), "content")
+    else:
+        bodies = raw.option("recursiveFileLookup", "true").load(crawl.root).select(F.col("path").alias("location"), "content")
+        bodies = bodies.join(wanted.select("location"), "location", "left_semi")
+    out = todo.join(bodies, "location", "left")
+    return out.withColumn("note", F.when(~F.col("too_large") & F.col("content").isNull(), "download_failed: gone"))
+
+
 def skip_reason() -> Column:
+    """Why a listed file isn't read."""
     return F.when(F.col("too_large"), "too_large").when(F.col("size") == 0, "empty")

@@ -67,7 +67,6 @@ def read_doc(data: bytes, out) -> None:
 _BOUNDSHEET, _SST, _CONTINUE, _LABELSST, _NUMBER, _RK, _MULRK, _LABEL, _FORMULA, _STRING, _BOOLERR = 0x85, 0xFC, 0x3C, 0xFD, 0x203, 0x27E, 0xBD, 0x204, 0x06, 0x207, 0x205
 _XF, _FORMAT, _DATEMODE, _FILEPASS, _BOF, _EOF, _CODEPAGE = 0xE0, 0x41E, 0x22, 0x2F, 0x809, 0x0A, 0x42
 _DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
-_ERRORS = {0: "#NULL!", 7: "#DIV/0!", 15: "#VALUE!", 23: "#REF!", 29: "#NAME?", 36: "#NUM!", 42: "#N/A"}
 
 
 def _records(stream: bytes, at: int = 0) -> Iterator[tuple[int, bytes]]:
@@ -191,7 +190,7 @@ def xls_sheets(data: bytes) -> list[tuple[str, dict[int, dict[int, object]]]]:
                 elif kind == _LABEL:
                     value = _short_text(body[6:], 2)
                 elif kind == _BOOLERR:
-                    value = _ERRORS.get(body[6], "#ERR") if body[7] else bool(body[6])
+                    value = None if body[7] else bool(body[6])  # errors have no content
                 elif body[12:14] != b"\xff\xff":
                     value = shown(struct.unpack_from("<d", body, 6)[0], style)
                 elif body[6] == 1:
