@@ -14,7 +14,6 @@ from quillspark.functions import spans
 from quillspark.functions.tables import table
 from quillspark.operators import chunking, incremental, reports
 from quillspark.plans.query import analyze
-from quillspark.sources import extract
 
 QUERIES, SQL = {}, {}
 
@@ -123,25 +122,6 @@ def number_token_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(F.transform(pick, lambda s: s.token), " ").alias("tokens"))
 
 
-@query()
-def literal_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates, then numbers, of every document."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", _joined(spans.tokens_udf()(F.col("text"))).alias("tokens"))
-
-
-@query()
-def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as queries: how many terms of which kind they have."""
-
-    def run(batches):
-        for b in batches:
-            found = [analyze(t or "") for t in b["text"]]
-            yield pd.DataFrame({"item_id": b["item_id"], "words": [sum(t.kind == "word" for t in q.terms) for q in found], "natural": [q.natural for q in found]})
-
-    return table(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, words long, natural boolean")
-
-
 # --- chunking
 
 _SQL_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -162,31 +142,6 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("sentences"))
 
 
-@query()
-def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in overlapping chunks."""
-    return chunking.chunked_texts(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "text", "char_start", "char_end")
-
-
-@query()
-def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line items of each order as table rows."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.concat_ws(" | ", F.concat(F.lit("part: "), "l_partkey"), F.concat(F.lit("mode: "), "l_returnflag")).alias("text"),
-        F.lit("table_row").alias("kind"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("sheet"), F.col("l_linenumber").alias("row"),
-        F.lit("part | mode").alias("heading"), F.lit("native").alias("origin"),
-    )
-    return chunking.chunked(rows).select("doc_id", "ordinal", "text", "row_start", "row_end")
-
-
-@query()
-def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def run(page: pd.Series) -> pd.Series:
-        return page.map(extract.html_to_text)
-
-    return table(spark, sf_dir, "pages").select("page_id", run(F.col("html")).alias("text"))
-
 
 # --- reports: documents with a status that follows from labels and ids
 

@@ -416,20 +416,6 @@ def near_dup_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(after, "item_id").select("item_id", "next_id", F.round(rank.overlap(F.col("s"), F.col("t")), 9).alias("overlap"))
 
 
-@query()
-def dedupe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each conversation without near repeats of earlier ones."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("rank"), F.col("turn").alias("chunk_id"), "text")
-    return rank.without_repeats(turns).select("doc_id", "chunk_id")
-
-
-@query()
-def highlight_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = analyze("the trash")
-    found = _docs(spark, sf_dir).join(_matches(spark, sf_dir, "the trash").select("doc_id"), "doc_id", "left_semi")
-    return found.select("doc_id", highlight.snippet_udf(q.highlights)(F.col("text")).alias("snippet"))
-
-
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[[hl]]', '<mark>'), '[[/hl]]', '</mark>') AS shown FROM pages")
 def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", highlight.to_html(F.col("html")).alias("shown"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import catalog_documents, catalog_search
+from quillspark.plans import catalog_documents, catalog_records, catalog_search, catalog_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
-CATALOGS = [catalog_search, catalog_documents]
+CATALOGS = [catalog_search, catalog_documents, catalog_sources, catalog_records]
 
 
 def queries() -> dict[str, Query]:

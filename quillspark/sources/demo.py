@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import random
-import zipfile
-from email.message import EmailMessage
 from pathlib import Path
 
+from quillspark.sources.samples import docx, eml
+
 ACCOUNT = "61 1090 1014 0000 0712 1981 2874"
 SPELLINGS = {"spaced": ACCOUNT, "dashed": ACCOUNT.replace(" ", "-"), "compact": ACCOUNT.replace(" ", "")}
 DATE = ("15.03.2021", "2021-03-15", "15 marca 2021")
@@ -16,22 +15,6 @@ EXPECTED = {"account": 17, "date": 6, "broken": 4, "files": 24}
 _TOPICS = ("zakup", "najem", "serwis", "dostawa", "szkolenie", "audyt", "transport", "ubezpieczenie")
 
 
-def _docx(*paragraphs: str) -> bytes:
-    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
-    return out.getvalue()
-
-
-def _mail(subject: str, text: str) -> bytes:
-    m = EmailMessage()
-    m["From"], m["To"], m["Subject"] = "biuro@firma.example", "klient@firma.example", subject
-    m.set_content(text)
-    return m.as_bytes()
-
-
 def files(seed: int = 7) -> dict[str, bytes]:
     """Paths and contents: 9 spaced, 4 dashed and 4 compact accounts, three texts without one, four broken files."""
     r = random.Random(seed)
@@ -43,9 +26,9 @@ def files(seed: int = 7) -> dict[str, bytes]:
         text = f"Umowa {i + 1}: {topic}. Rachunek {SPELLINGS[how]}.{when} Kwota {r.randint(100, 999)},00 zł."
         kind = i % 4
         if kind == 0:
-            out[f"umowy/umowa-{i:02}.docx"] = _docx(f"Umowa na {topic}", text)
+            out[f"umowy/umowa-{i:02}.docx"] = docx(f"Umowa na {topic}", text)
         elif kind == 1:
-            out[f"listy/list-{i:02}.eml"] = _mail(f"W sprawie: {topic}", text)
+            out[f"listy/list-{i:02}.eml"] = eml(f"W sprawie: {topic}", text)
         elif kind == 2:
             out[f"notatki/notatka-{i:02}.txt"] = text.encode("cp1250")
         else:

@@ -31,6 +31,24 @@ def _excluded(relative: Column, name: Column, globs: list[str]) -> Column:
     return out
 
 
+def kept(crawl: Crawl) -> Column:
+    """Whether a crawl reads a file, by its columns relative, name and extension."""
+    folders = F.split(F.lower("relative"), "/")
+    keep = ~F.arrays_overlap(folders, F.array(*map(F.lit, SYSTEM_FOLDERS))) & ~_excluded(F.col("relative"), F.col("name"), crawl.excluded_globs)
+    if not crawl.hidden:
+        keep = keep & ~F.exists(F.split("relative", "/"), lambda p: F.startswith(p, F.lit(".")))
+    if crawl.excluded_extensions:
+        keep = keep & ~F.col("extension").isin(*("." + e.lower().lstrip(".") for e in crawl.excluded_extensions))
+    if crawl.extensions:
+        keep = keep & F.col("extension").isin(*("." + e.lower().lstrip(".") for e in crawl.extensions))
+    return keep
+
+
+def etag(size: Column, modified: Column) -> Column:
+    """What changes with a file: its size and the second of its last change."""
+    return F.concat_ws("-", size, F.unix_timestamp(modified.cast("timestamp")))
+
+
 def scan(spark: SparkSession, crawl: Crawl, content: bool = True) -> DataFrame:
     """Files below the root: identity, metadata, change key parts and content (null beyond ``most_bytes``).
 
@@ -45,14 +63,7 @@ def scan(spark: SparkSession, crawl: Crawl, content: bool = True) -> DataFrame:
     name = F.element_at(F.split("relative", "/"), -1)
     extension = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))
     out = files.withColumn("relative", relative).withColumn("name", name).withColumn("extension", extension)
-    folders = F.split(F.lower("relative"), "/")
-    keep = ~F.arrays_overlap(folders, F.array(*map(F.lit, SYSTEM_FOLDERS))) & ~_excluded(F.col("relative"), F.col("name"), crawl.excluded_globs)
-    if not crawl.hidden:
-        keep = keep & ~F.exists(F.split("relative", "/"), lambda p: F.startswith(p, F.lit(".")))
-    if crawl.extensions:
-        keep = keep & F.col("extension").isin(*("." + e.lower().lstrip(".") for e in crawl.extensions))
-    if crawl.excluded_extensions:
-        keep = keep & ~F.col("extension").isin(*("." + e.lower().lstrip(".") for e in crawl.excluded_extensions))
+    keep = kept(crawl)
     large = F.col("length") > crawl.most_bytes
     body = F.when(~large, F.col("content")) if content else F.lit(None).cast("binary")
     return out.where(keep).select(
@@ -62,7 +73,7 @@ def scan(spark: SparkSession, crawl: Crawl, content: bool = True) -> DataFrame:
         "extension",
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified_at"),
-        F.concat_ws("-", F.col("length"), F.unix_timestamp(F.col("modificationTime").cast("timestamp"))).alias("etag"),
+        etag(F.col("length"), F.col("modificationTime")).alias("etag"),
         large.alias("too_large"),
         *([F.sha2(body, 256).alias("content_hash")] if content else []),
         *([body.alias("content")] if content else [F.lit(None).cast("string").alias("content_hash")]),
