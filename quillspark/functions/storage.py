@@ -27,6 +27,18 @@ def once(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL = 32_000_000  # bytes of input that one file's reader may hold back
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, for work that takes long by the row: it often lies in one file, which one task would read.
+
+    Tables of more bytes lie in many splits and stay where they are.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= SMALL else df
+
+
 class Files:
     """The file system of a path, by Hadoop's interface."""
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.spans import literal_tokens
+from quillspark.functions.storage import spread
 from quillspark.functions.text import fold_text
 from quillspark.operators.index import Clause, Phrase, bm25, holds, phrases_of
 from quillspark.operators.versions import ChangeTable
@@ -63,7 +64,7 @@ def rows_of(chunks: DataFrame, norm: bool = True, heading: str | None = None) ->
                 names=["part", "token", "chunk_id", "doc_id", "tf", "n_tokens", "positions"],
             )
 
-    return chunks.select(*columns).mapInArrow(run, ROWS.partition(", ")[2])
+    return spread(chunks.select(*columns)).mapInArrow(run, ROWS.partition(", ")[2])
 
 
 def _bucket(part: Column, token: Column, chunk: Column) -> Column:

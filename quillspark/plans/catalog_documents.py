@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import spans
+from quillspark.functions.storage import spread
 from quillspark.functions.tables import table
 from quillspark.operators import chunking, incremental, reports
 from quillspark.plans.query import analyze
@@ -34,7 +35,7 @@ _ORDERS = "orders"
 
 
 def _orders(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return table(spark, sf_dir, _ORDERS).select("o_orderkey", "o_orderdate", F.expr(text).alias("text"))
+    return spread(table(spark, sf_dir, _ORDERS).select("o_orderkey", "o_orderdate", F.expr(text).alias("text")))
 
 
 def _joined(found: Column) -> Column:
@@ -49,7 +50,7 @@ def date_tokens_dmy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, strftime(l_shipdate, 'dat%Y%m%d mon%Y%m yea%Y') AS tokens FROM lineitem""")
 def date_tokens_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "'wysyłka 'yyyy-MM-dd").alias("text"))
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "'wysyłka 'yyyy-MM-dd").alias("text")))
     return rows.select("l_orderkey", "l_linenumber", _joined(spans.tokens_udf(spans.date_tokens)(F.col("text"))).alias("tokens"))
 
 

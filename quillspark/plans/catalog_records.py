@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import spans
 from quillspark.functions import text as tx
-from quillspark.functions.storage import shared_folder
+from quillspark.functions.storage import shared_folder, spread
 from quillspark.functions.tables import table
 from quillspark.operators import chunking, embedding, highlight, incremental, ocr, rank, reports, sinks, vectors
 from quillspark.operators.filters import Filters
@@ -91,7 +91,7 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(page: pd.Series) -> pd.Series:
         return page.map(extract.html_to_text)
 
-    return table(spark, sf_dir, "pages").select("page_id", run("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", run("html").alias("text"))
 
 
 @query("SELECT o_orderkey, o_orderkey::VARCHAR AS meant FROM orders")
@@ -142,7 +142,7 @@ def redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_text(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.expr(text).alias("text"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.expr(text).alias("text")))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
