@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillspark.functions.storage import spread
 from quillspark.functions.tables import table
 from quillspark.llm.common import slices, tidy
 
@@ -235,5 +236,5 @@ def _digests(ids: bytes, codec: Codec) -> tuple:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokenized(docs, *default_vocabulary(), _digests, "n_tokens:long,ids_sha256:string,decoded_sha256:string")

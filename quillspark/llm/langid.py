@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.storage import spread
 from quillspark.functions.tables import table
 from quillspark.llm.common import crc_mod, slices, stored, tidy
 
@@ -195,5 +196,5 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; a third of the ids is held out from fitting."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(crc_mod("doc_id", 3) != 1).select("text", "lang"))
-    rows = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text")
+    rows = spread(docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text"))
     return identify(rows, model)

@@ -44,6 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.storage import spread
 from quillspark.functions.tables import table
 from quillspark.llm.common import WORD, joined, slices, stored, tidy
 
@@ -479,5 +480,5 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classes(docs).select("doc_id", "class_id")

@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.storage import spread
 from quillspark.functions.tables import table
 from quillspark.llm.common import WORD, joined, null_safe_key, slices, stored, tidy
 
@@ -370,7 +371,7 @@ def judged(rows: DataFrame, model: DataFrame, tail: float = 1e-6) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
-    rows = measured(docs.select("doc_id", "lang", "source", "text"))
+    rows = measured(spread(docs.select("doc_id", "lang", "source", "text")))
     rows = stored(keyed(rows).select("doc_id", "lkey", "skey", *STATS, "base_failed", "vec"), "quality-stats")
     model = estimates(rows.where("vec IS NOT NULL").select("lkey", "skey", "vec"))
     return judged(rows, model).select("doc_id", *STATS, "base_failed", "kept", "distance")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.storage import spread
 from quillspark.functions.tables import table
 from quillspark.llm.common import crc_mod, slices, stored, tidy
 
@@ -326,7 +327,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", hits: str | None = N
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored; a fifth of the ids is held out from fitting."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
     model = fit(docs, labels)
     return scored(docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text"), model)
