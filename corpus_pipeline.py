@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.storage import spread
 from quillspark.llm import bpe, mixing, neardup, quality, secrets
 from quillspark.llm.common import WORD, scratch, stored
 
@@ -21,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outlier of their language and source."""
-    rows = stored(quality.keyed(quality.measured(docs.select(COLUMNS))).where("NOT base_failed"), "quality-stats")
+    rows = stored(quality.keyed(quality.measured(spread(docs.select(COLUMNS)))).where("NOT base_failed"), "quality-stats")
     model = quality.estimates(rows.select("lkey", "skey", "vec"))
     return quality.judged(rows, model).where("kept").select(COLUMNS)
 
