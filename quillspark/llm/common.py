@@ -48,11 +48,14 @@ def cleanup(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BLOCK_BYTES = 32 * 2**20  # of a stored table's row groups, which writers hold in memory
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -375,3 +375,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(keyed(rows).select("doc_id", "lkey", "skey", *STATS, "base_failed", "vec"), "quality-stats")
     model = estimates(rows.where("vec IS NOT NULL").select("lkey", "skey", "vec"))
     return judged(rows, model).select("doc_id", *STATS, "base_failed", "kept", "distance")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and base rules of every document, without a verdict."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return measured(docs).select("doc_id", *STATS, "base_failed")
+
+
+QUALITY_BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{WORD}') AS w FROM d),
+p AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 2),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM k WHERE n > 1) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+x AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY r),
+s AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(x.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN x USING (r) LEFT JOIN c USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""

@@ -13,6 +13,7 @@ QUERIES = {
     "op8_search": search.op8_search,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
+    "quality_base": quality.quality_base,
 }
 
 ORACLE_SQL = {
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op7_warc": warc.OP7_SQL,
     "op8_search": search.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
+    "quality_base": quality.QUALITY_BASE_SQL,
 }
