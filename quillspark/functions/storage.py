@@ -31,12 +31,13 @@ SMALL = 32_000_000  # bytes of input that one file's reader may hold back
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt to all cores, for work that takes long by the row: it often lies in one file, which one task would read.
+    """A small table of few files dealt to all cores, for work that takes long by the row: one task would read each file.
 
-    Tables of more bytes lie in many splits and stay where they are.
+    Tables of more bytes or files lie in many splits and stay where they are.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= SMALL else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
 
 
 class Files:

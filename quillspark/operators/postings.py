@@ -11,6 +11,7 @@ import re
 from functools import reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,12 @@ def _followed(phrase: int, n: int):
     return run
 
 
+def bucket_of(token: str) -> int:
+    """The bucket of a token, as _bucket() gives it."""
+    h = xxhash.xxh64_intdigest(token.encode(), seed=42)
+    return (h - (h >> 63 << 64)) % BUCKETS
+
+
 class PostingIndex:
     """Postings of chunks in a folder, as changes by document."""
 
@@ -110,8 +117,7 @@ class PostingIndex:
         """The postings of the phrases' tokens: partitions are pruned by bucket, row groups by token."""
         wanted = sorted({(p.column, t) for p in phrases for t in p.tokens})
         tokens = sorted({t for _, t in wanted})
-        keys = self.spark.createDataFrame([(t,) for t in tokens] or [("",)], "token string").select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
-        buckets = sorted({r[0] for r in keys.collect()})
+        buckets = sorted({bucket_of(t) for t in tokens})
         pairs = F.struct("part", "token").isin([F.struct(F.lit(c), F.lit(t)) for c, t in wanted]) if wanted else F.lit(False)
         return self._live().where(F.col("bucket").isin(buckets) & F.col("token").isin(tokens) & pairs)
 

@@ -1,3 +1,4 @@
+import random
 import sqlite3
 from datetime import datetime
 
@@ -141,3 +142,35 @@ def test_stored_postings(spark, chunks, tmp_path):
     index.write_postings(posted, f"{tmp_path}/p", 8)
     got = index.read_postings(spark, f"{tmp_path}/p", ["umowa", "lodz"], 8)
     assert {(r.token, r.chunk_id, r.tf) for r in got.collect()} == {("umowa", 1, 1), ("umowa", 2, 1), ("umowa", 3, 3), ("lodz", 1, 1), ("lodz", 3, 1)}
+
+
+def test_buckets_here_and_in_the_jvm(spark):
+    from quillspark.operators import postings
+
+    tokens = ["", "a", "the", "zażółć", "x" * 100, "\U0001f600", "123"]
+    df = spark.createDataFrame([("folded", t, 1) for t in tokens], "part string, token string, chunk_id long")
+    got = df.select("token", postings._bucket(F.col("part"), F.col("token"), F.col("chunk_id")).alias("b")).collect()
+    assert {r.token: r.b for r in got} == {t: postings.bucket_of(t) for t in tokens}
+
+
+def test_stored_index_against_scans(spark, tmp_path):
+    """Words, phrases, literals and alternatives: the stored index finds and scores what a scan of token arrays does, after changes too."""
+    from quillspark.operators.postings import PostingIndex
+
+    r = random.Random(11)
+    words = ["ala", "ma", "kota", "psa", "łódź", "12", "01.02.2015", "314 zł", "x_y", "FV/2015/12"]
+    texts = {i: " ".join(r.choices(words, k=r.randint(0, 25))) for i in range(300)}
+    rows = lambda ids: spark.createDataFrame([(i, i // 3, texts[i]) for i in ids], "chunk_id long, doc_id long, text string")
+    stored = PostingIndex(spark, f"{tmp_path}/p")
+    stored.write(rows(range(300)), version=1)
+    for i in range(0, 60):
+        texts[i] = " ".join(r.choices(words, k=8))
+    stored.write(rows(range(60)), rows(range(60)).select("doc_id"), version=2)
+    scanned = index.with_tokens(rows(range(300)), norm=sp.tokens_udf()(F.col("text"))).cache()
+    for text, strict in [("ala kota", True), ('"ala ma"', True), ('"ma ma ma"', True), ("ala psa nic", False), ("01.02.2015 łódź", True), ("314 zł", True), ("x_y", True), ("brak", True), ("FV/2015/12 ala", False)]:
+        c = clauses(analyze(text), strict)
+        want = {r.chunk_id: round(r.score, 9) for r in index.matches(scanned, c).collect()}
+        assert {r.chunk_id: round(r.score, 9) for r in stored.matches(c).collect()} == want, text
+    assert stored.check(rows(range(300))).count() == 0 and stored.check(rows(range(299))).count() > 0
+    plan = stored.lookup([index.Phrase("folded", ("ala",))])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PushedFilters: [" in plan
