@@ -33,7 +33,31 @@ def scratch(spark: SparkSession, name: str) -> str:
         top = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", top)
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{_session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{top.rstrip('/')}/{_session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _recordings:
+        made.append(path)
+    return path
+
+
+_recordings: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that scratch() gives meanwhile."""
+    made: list[str] = []
+    _recordings.append(made)
+    try:
+        yield made
+    finally:
+        _recordings.remove(made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that are no longer read."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _session_folder(spark: SparkSession) -> str:

@@ -167,7 +167,7 @@ X = [f"x{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 #: Aggregated in each bin besides the number of rows: deviations from the location so far, and their products.
 _MOMENTS = [*(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS)]
-BINS_PER_OCTAVE = 16
+BINS_PER_OCTAVE = 8
 _REAL, _REALS, _LIST = T.DoubleType(), T.ArrayType(T.DoubleType()), pa.list_(pa.float64())
 #: (mu, cov, prec, logdet, n): location, scatter, inverse and determinant of the scatter with floors, rows of the group.
 _STATE = T.StructType([T.StructField(c, t) for c, t in (("mu", _REALS), ("cov", _REALS), ("prec", _REALS), ("logdet", _REAL), ("n", _REAL))])
@@ -193,7 +193,7 @@ def _moments(values: list[Column], prefix: str = "") -> list[Column]:
 
 
 def _bin(d: Column) -> Column:
-    """Distances in steps of a sixteenth of an octave."""
+    """Distances in steps of an eighth of an octave."""
     return F.floor(F.log2(F.greatest(d, F.lit(1e-9))) * BINS_PER_OCTAVE).cast("int")
 
 
