@@ -3,6 +3,9 @@
 quality -> near duplicates -> secrets -> mixing -> tokens. All stages but the
 last return the columns of ``documents``.
 
+What a stage stores on its way is deleted when the next one begins, as that
+reads the written result: a stage's result is to be written before then.
+
 Defined cases are those of the operators; a table without rows gives one
 without rows, columns besides those of documents are dropped by the first
 stage.
@@ -10,16 +13,40 @@ stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.storage import spread
 from quillspark.llm import bpe, mixing, neardup, quality, secrets
-from quillspark.llm.common import WORD, scratch, stored
+from quillspark.llm.common import WORD, discard, recorded, scratch, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage that first deletes what the one before has left, but for what its input reads."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        old = [p for p in _left if not any(p.rpartition("/")[2] in r for r in read)]
+        discard(spark, old)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _left[:] = [p for p in _left if p not in old] + made
+        return out
+
+    return run
+
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outlier of their language and source."""
     rows = stored(quality.keyed(quality.measured(spread(docs.select(COLUMNS)))).where("NOT base_failed"), "quality-stats")
@@ -27,6 +54,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(rows, model).where("kept").select(COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that with the least id; texts without words all stay.
 
@@ -45,6 +73,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.withColumn("first", first).where("first = 1").select(COLUMNS).unionByName(wordless.select(COLUMNS))
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, what looks like a secret replaced by its kind."""
     ledger = secrets.scan(docs.select("text"), scratch(spark, "secret-ledger"))
@@ -53,12 +82,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources up to twice, at 95 % of the greatest entropy of sources if that allows."""
     tokens = mixing.n_words(F.col("text"))
     return mixing.draw(docs.select(COLUMNS), tokens, budget="cover", entropy=0.95, max_repeats=2.0).select(COLUMNS)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as byte-level BPE tokens (little-endian unsigned 32-bit integers)."""
     encoded = bpe.encode(docs.select("doc_id", "source", "text"), *bpe.default_vocabulary(), ids="tokens")
