@@ -52,6 +52,13 @@ def with_tokens(chunks: DataFrame, text: str = "text", norm: Column | None = Non
     return out.withColumn("n_tokens", (F.size("folded") + F.size("norm")).cast("long"))
 
 
+def representations(chunks: DataFrame, text: str = "text", heading: str = "heading", norm: Column | None = None) -> DataFrame:
+    """``chunks`` with all forms of a chunk: ``display``, what is shown; ``search_text``, cleaned with its heading, in lower case; ``folded`` and ``norm``, what is indexed."""
+    whole = F.concat_ws("\n", F.nullif(heading, F.lit("")), F.coalesce(text, F.lit("")))
+    out = chunks.withColumn("display", F.coalesce(text, F.lit(""))).withColumn("search_text", tx.cleaned_lower(whole)).withColumn("_whole", whole)
+    return with_tokens(out, "_whole", norm).drop("_whole")
+
+
 def occurrences(p: Phrase) -> Column:
     """How often the phrase occurs in its column."""
     first = F.lit(p.tokens[0])

@@ -10,7 +10,7 @@ from quillspark.functions import spans
 from quillspark.functions import text as tx
 from quillspark.functions.storage import shared_folder, spread
 from quillspark.functions.tables import table
-from quillspark.operators import chunking, embedding, highlight, incremental, ocr, rank, reports, sinks, vectors
+from quillspark.operators import chunking, embedding, highlight, incremental, index, ocr, rank, reports, sinks, vectors
 from quillspark.operators.filters import Filters
 from quillspark.operators.vector_store import VectorStore
 from quillspark.operators.versions import ChangeTable
@@ -216,6 +216,32 @@ def iban_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(found, " ").alias("tokens"))
 
 
+_RUNS = [
+    ("12 34 1234567 56 78", "digits:1234 digits:1234567 digits:5678"),  # a group of more than six digits ends a chain and is a run of its own
+    ("x123456 123456x 12345_6", "digits:12345"),  # letters beside digits, but not an underscore, spoil them
+    ("11 2222 3333 4444 5555 6666 7777", "account:11222233334444555566667777"),
+    ("1 2 3 4 5 6 7 8 9 1 22 33", "digits:1234567891 digits:2233"),  # ten groups at most
+    ("12-34-56 78", "digits:5678"),  # blanks come before dashes
+    ("123 12", "digits:12312"),
+    ("123", ""),
+]
+
+
+@query("SELECT c_custkey, CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(_RUNS)) + " END AS found FROM customer")
+def digit_run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of groups, their limits, and what takes digits from what."""
+    text = F.element_at(F.array(*(F.lit(t) for t, _ in _RUNS)), (F.col("c_custkey") % len(_RUNS) + 1).cast("int"))
+    found = F.transform(spans.spans_udf(spans.digit_runs)(text), lambda s: F.concat_ws(":", s.kind, s.value))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(found, " ").alias("found"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id // 4 % 2 = 1")
+def cascade_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of four documents, each attached to the one before: with its first a chain goes, three levels deep."""
+    known = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") - 1).alias("attachment_of"))
+    return incremental.without(known, incremental.with_descendants(known, known.where("doc_id % 8 = 0"))).select("doc_id")
+
+
 @query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 26, '1') AS bare FROM customer")
 def bare_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.regexp_replace(F.lpad(F.col("c_custkey").cast("string"), 26, "1"), r"(\d{2})(\d{4})(\d{4})", "$1 $2-$3.")
@@ -303,6 +329,13 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked_documents(docs).select("doc_id", "ordinal", "text", "row_start", "row_end")
 
 
+@query(f"""SELECT c_custkey, c_mktsegment AS display, lower({_sql_space(_sql_unify("c_name || chr(10) || c_mktsegment"))}) AS search_text, len(regexp_extract_all({_sql_fold("c_name || chr(10) || c_mktsegment")}, '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS n_tokens FROM customer""")
+def chunk_representations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown, searched for and indexed; a heading is in all but what is shown."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("heading"), F.col("c_mktsegment").alias("text"))
+    return index.representations(rows).select("c_custkey", "display", "search_text", "n_tokens")
+
+
 @query("""SELECT doc_id, CASE WHEN length(t) <= 180 THEN t WHEN contains(right(t, 180), ' ') THEN substr(right(t, 180), strpos(right(t, 180), ' ') + 1) ELSE right(t, 180) END AS tail FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def chunk_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlap of chunks."""

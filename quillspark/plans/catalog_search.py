@@ -97,11 +97,11 @@ def garbage_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", tx.is_garbage(F.col("text")).alias("garbage"))
 
 
-@query("SELECT o_orderkey, repeat('a', (o_orderkey % 7)::INT) || repeat('-', least(3, (o_orderkey % 5)::INT)) || CASE WHEN o_orderkey % 7 > 3 THEN '' ELSE '' END AS raw, "
-       "repeat('a', least(3, (o_orderkey % 7)::INT)) || repeat('-', least(3, (o_orderkey % 5)::INT)) AS collapsed FROM orders")
+@query("SELECT c_custkey, list_reduce(string_split(c_name || repeat('-', (c_custkey % 9)::INT) || 'aaaab', ''), lambda a, c: CASE WHEN right(a, 3) = c || c || c THEN a ELSE a || c END, '') AS collapsed FROM customer")
 def collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.expr("concat(repeat('a', cast(o_orderkey % 7 as int)), repeat('-', least(3, cast(o_orderkey % 5 as int))))")
-    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), tx.collapse_runs(raw).alias("collapsed"))
+    """Names have runs of zeros; each character enters unless three of it stand before."""
+    raw = F.expr("concat(c_name, repeat('-', cast(c_custkey % 9 as int)), 'aaaab')")
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.collapse_runs(raw).alias("collapsed"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '[\\s\\-–—./\\\\_]', '', 'g') AS bare FROM documents")

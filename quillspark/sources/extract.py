@@ -7,10 +7,14 @@ that fails becomes a row with an error, never an exception.
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import html
+import importlib
+import importlib.util
 import io
 import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -31,16 +35,54 @@ from quillspark.sources.pdf import read_pdf
 LONG_PARAGRAPH = 4000
 
 
+class Enough(Exception):
+    """A file gave as much as its limits let it."""
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much is read of a file, and how long; what is left out is a warning. Nothing is bounded by default."""
+
+    most_bytes: int | None = None
+    chars: int | None = None
+    rows: int | None = None
+    seconds: float | None = None
+    cancelled: Callable[[], bool] | None = None
+
+
 @dataclass
 class Extracted:
     sections: list[dict] = field(default_factory=list)
     attachments: list[tuple[str, bytes]] = field(default_factory=list)
     meta: dict[str, str] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)  # what was left out, and why
+    limits: Limits = Limits()
+    began: float = field(default_factory=time.monotonic)
+    chars: int = 0
+    rows: int = 0
 
     def add(self, text: str, kind: str = "paragraph", **more) -> None:
-        if text.strip():
-            self.sections.append({"text": text.strip(), "kind": kind, **more})
+        text, own = text.strip(), self.limits
+        if not text:
+            return
+        if own.cancelled and own.cancelled():
+            raise InterruptedError("reading was cancelled")
+        if own.seconds is not None and time.monotonic() - self.began > own.seconds:
+            self._end(f"{own.seconds} seconds")
+        if own.rows is not None and kind == "table_row" and self.rows >= own.rows:
+            self._end(f"{own.rows} rows")
+        if own.chars is not None and self.chars + len(text) > own.chars:
+            text = text[: own.chars - self.chars].strip()
+            if text:
+                self.sections.append({"text": text, "kind": kind, **more})
+            self._end(f"{own.chars} characters")
+        self.chars += len(text)
+        self.rows += kind == "table_row"
+        self.sections.append({"text": text, "kind": kind, **more})
+
+    def _end(self, what: str) -> None:
+        self.warnings.append(f"read up to {what}")
+        raise Enough
 
 
 def _lines(text: str) -> Iterator[str]:
@@ -475,6 +517,52 @@ def _reader(name: str, priority: int, extensions: str, read, types: str = "") ->
     return Reader(name, priority, own, frozenset(EXTENSION_TYPES[e] for e in own if e in EXTENSION_TYPES) | frozenset(types.split()), read)
 
 
+NO_LIMITS = Limits()
+
+
+def _library_archive(module: str, members: Callable[[object, io.BytesIO], Iterator[tuple[str, int, Callable[[], bytes]]]]):
+    """A reader of archives by a library that may be installed."""
+
+    def read(data: bytes, out: Extracted) -> None:
+        library = importlib.import_module(module)
+        found = list(members(library, io.BytesIO(data)))
+        for i in range(0, len(found), 50):
+            out.add("\n".join(n for n, _, _ in found[i : i + 50]), "archive_listing")
+        total = 0
+        for name, size, content in found:
+            if len(out.attachments) >= MOST_MEMBERS or total + size > MOST_UNPACKED or (size >= BOMB_BYTES and size > BOMB_RATIO * len(data)):
+                out.warnings.append(f"member beyond limits: {name}")
+                continue
+            total += size
+            out.attachments.append((name, content()))
+
+    return read
+
+
+def _members_7z(library, data: io.BytesIO):
+    with library.SevenZipFile(data) as z:
+        if z.needs_password():
+            raise PermissionError("encrypted")
+        sizes = {f.filename: f.uncompressed for f in z.list() if not f.is_directory}
+    for name, size in sizes.items():
+        yield name, size, lambda name=name: library.SevenZipFile(io.BytesIO(data.getvalue())).read([name])[name].read()
+
+
+def _members_rar(library, data: io.BytesIO):
+    z = library.RarFile(data)
+    if z.needs_password():
+        raise PermissionError("encrypted")
+    for m in z.infolist():
+        if not m.is_dir():
+            yield m.filename, m.file_size, lambda m=m: z.read(m)
+
+
+def _optional() -> Iterator[Reader]:
+    for name, module, members in (("7z", "py7zr", _members_7z), ("rar", "rarfile", _members_rar)):
+        if importlib.util.find_spec(module):
+            yield _reader(name, 100, "." + name, _library_archive(module, members))
+
+
 READERS = [
     _reader("csv", 120, ".csv .tsv", read_csv),
     _reader("pdf", 110, ".pdf", read_pdf),
@@ -494,9 +582,14 @@ READERS = [
 ]
 
 
-def extract(content: bytes | None, name: str) -> tuple[Extracted, str, str | None]:
+READERS += _optional()
+
+
+def extract(content: bytes | None, name: str, limits: Limits = NO_LIMITS) -> tuple[Extracted, str, str | None]:
     """What the first reader that succeeds finds, its name, and the last error if none does."""
     data = content or b""
+    if limits.most_bytes is not None and len(data) > limits.most_bytes:
+        return Extracted(warnings=[f"larger than {limits.most_bytes} bytes"]), "", "skipped: too_large"
     mime, sealed = file_type(data, name)
     if sealed:
         return Extracted(), "", "password_protected"
@@ -506,10 +599,13 @@ def extract(content: bytes | None, name: str) -> tuple[Extracted, str, str | Non
         fitting = [r for r in READERS if r.name == "text"]
     error = "unsupported"
     for reader in sorted(fitting, key=lambda r: -r.priority):
-        out = Extracted()
+        out = Extracted(limits=limits)
         try:
-            reader.read(data, out)
+            with contextlib.suppress(Enough):
+                reader.read(data, out)
             return out, reader.name, None
+        except InterruptedError:
+            raise
         except PermissionError:
             return Extracted(), "", "password_protected"
         except Exception as e:  # any defect of a file is its own, and is reported with it
@@ -521,14 +617,14 @@ SECTIONS = "source_id string, external_id string, ord int, text string, kind str
 MOST_DEPTH = 3
 
 
-def _documents(content: bytes | None, key: str, name: str, depth: int = 0) -> Iterator[tuple[str, Extracted, str, str | None]]:
-    out, parser, error = extract(content, name)
+def _documents(content: bytes | None, key: str, name: str, limits: Limits = NO_LIMITS, depth: int = 0) -> Iterator[tuple[str, Extracted, str, str | None]]:
+    out, parser, error = extract(content, name, limits)
     yield key, out, parser, error
     for inner, data in out.attachments if depth < MOST_DEPTH else ():
-        yield from _documents(data, f"{key}#att:{inner}", inner, depth + 1)
+        yield from _documents(data, f"{key}#att:{inner}", inner, limits, depth + 1)
 
 
-def sections(files: DataFrame) -> DataFrame:
+def sections(files: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """scan() rows to sections; attachments and archive members become documents of their own, three levels deep.
 
     A document without sections gives one row with null text, and its error if it has one.
@@ -539,7 +635,7 @@ def sections(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for source, key, name, content in zip(b["source_id"], b["external_id"], b["name"], b["content"], strict=True):
-                for doc, out, parser, error in _documents(content, key, name):
+                for doc, out, parser, error in _documents(content, key, name, limits):
                     base = {"source_id": source, "external_id": doc, "parser": parser, "error": error, "origin": "native", "warnings": "; ".join(out.warnings) or None, "pages": int(out.meta.get("pages") or 0) or None}
                     rows += [{**base, "ord": i, **s} for i, s in enumerate(out.sections)] or [base]
             yield pd.DataFrame(rows, columns=names, dtype=object)

@@ -164,3 +164,44 @@ def test_warnings_of_what_is_left_out():
             z.writestr(f"{i}.txt", "x")
     out = extract.extract(b.getvalue(), "a.zip")[0]
     assert len(out.attachments) == 200 and out.warnings == ["member bomb: bomb.txt", "member beyond limits: 200.txt", "member beyond limits: 201.txt"]
+
+
+def test_limits():
+    data = "\n\n".join(f"akapit {i}" for i in range(100)).encode()
+    out, parser, error = extract.extract(data, "a.txt", extract.Limits(chars=50))
+    assert sum(len(s["text"]) for s in out.sections) <= 50 and out.warnings == ["read up to 50 characters"] and (parser, error) == ("text", None)
+    rows = "a;b\n" + "x;y\n" * 20
+    out = extract.extract(rows.encode(), "a.csv", extract.Limits(rows=5))[0]
+    assert len([s for s in out.sections if s["kind"] == "table_row"]) == 5 and out.warnings == ["read up to 5 rows"]
+    assert extract.extract(data, "a.txt", extract.Limits(seconds=-1))[0].warnings == ["read up to -1 seconds"]
+    assert extract.extract(data, "a.txt", extract.Limits(most_bytes=10))[2] == "skipped: too_large"
+    with pytest.raises(InterruptedError):
+        extract.extract(data, "a.txt", extract.Limits(cancelled=lambda: True))
+    assert not extract.extract(data, "a.txt")[0].warnings
+
+
+def test_archives_by_libraries_that_may_be_there(monkeypatch):
+    """A stand-in for a library: listing, members within limits, passwords."""
+    import sys
+    import types
+
+    class Archive:
+        def __init__(self, data):
+            self.names = data.read().decode().split(",")
+
+        def needs_password(self):
+            return "secret" in self.names
+
+        def infolist(self):
+            return [types.SimpleNamespace(filename=n, file_size=10**9 if n == "big" else 3, is_dir=lambda n=n: n.endswith("/")) for n in self.names]
+
+        def read(self, m):
+            return m.filename.encode()
+
+    monkeypatch.setitem(sys.modules, "fakerar", types.SimpleNamespace(RarFile=Archive))
+    read = extract._library_archive("fakerar", extract._members_rar)
+    out = extract.Extracted()
+    read(b"a.txt,d/,big,b.txt", out)
+    assert out.attachments == [("a.txt", b"a.txt"), ("b.txt", b"b.txt")] and out.warnings == ["member beyond limits: big"] and out.sections[0]["text"] == "a.txt\nbig\nb.txt"
+    with pytest.raises(PermissionError):
+        read(b"secret", extract.Extracted())
