@@ -33,6 +33,7 @@ def scratch(spark: SparkSession, name: str) -> str:
         top = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", top)
         spark.sparkContext.setCheckpointDir(top)
+    modest(spark)
     path = f"{top.rstrip('/')}/{_session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     for made in _recordings:
         made.append(path)
@@ -139,8 +140,20 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+ARROW, ROWS_OF_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of ROWS_OF_BATCH texts, unless the session has a size of its own: with Spark's ten thousand, batches of long texts
+    take hundreds of megabytes of each executor, outside of its heap and in its Python processes."""
+    if spark.conf.get(ARROW, "10000") == "10000":
+        spark.conf.set(ARROW, str(ROWS_OF_BATCH))
+
+
 def tidy(run):
-    """``run`` over batches, and release() after the last."""
+    """``run`` over modest() batches, and release() after the last."""
+    if spark := SparkSession.getActiveSession():
+        modest(spark)
 
     def wrapped(batches):
         yield from run(batches)
