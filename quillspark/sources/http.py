@@ -38,6 +38,7 @@ class Failed(OSError):
 class Patience:
     """How often a request is made and how long is waited between; waits are the same each time, so that runs can be repeated."""
 
+    # Seconds of waits and their shifts, and statuses that may pass.
     attempts: int = 5
     first: float = 1.0
     most: float = 60.0
@@ -66,7 +67,7 @@ class Patience:
         return min(self.most_asked, max(0.0, seconds))
 
 
-#: Patience with embedding and recognition services.
+#: Patience with embedding and recognition services.
 SERVICE = Patience(attempts=4, first=0.5, most=8.0, shifts=(0.0,), statuses=frozenset({408, 425, 429, 500, 502, 503, 504}))
 
 
