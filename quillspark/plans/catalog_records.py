@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -444,20 +446,26 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STORES: dict[tuple[str, str], VectorStore] = {}
+_BUILDING = threading.Lock()
 
 
 def _store(spark: SparkSession, sf_dir: str) -> VectorStore:
     """A stored table of all vectors with centres, of which a third was removed and put back."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORES:
-        s = VectorStore(spark, shared_folder(spark, "vectors")).open(64, "made", "1")
-        rows = _as_vectors(spark, sf_dir)
-        s.add(rows)
-        s.remove(rows.where("chunk_id % 3 = 0").select("chunk_id"))
-        s.add(rows.where("chunk_id % 3 = 0"))
-        s.train()
-        _STORES[key] = s
-    return _STORES[key]
+    with _BUILDING:
+        if key not in _STORES:
+            _STORES[key] = _filled(spark, sf_dir)
+        return _STORES[key]
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> VectorStore:
+    s = VectorStore(spark, shared_folder(spark, "vectors")).open(64, "made", "1")
+    rows = _as_vectors(spark, sf_dir)
+    s.add(rows)
+    s.remove(rows.where("chunk_id % 3 = 0").select("chunk_id"))
+    s.add(rows.where("chunk_id % 3 = 0"))
+    s.train()
+    return s
 
 
 _NEAR_UNIT = """n AS (SELECT vec_id AS chunk_id, list_inner_product(embedding::DOUBLE[], q) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_inner_product(q, q)) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0))"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -186,20 +187,26 @@ def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _INDEXES: dict[tuple[str, str], PostingIndex] = {}
+_BUILDING = threading.Lock()
 
 
 def _index(spark: SparkSession, sf_dir: str, name: str = "documents") -> PostingIndex:
     """The stored index of a table, built by the first query of a session that needs it."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
-    if key not in _INDEXES:
-        rows = {
-            "documents": lambda: _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"),
-            "conversations": lambda: table(spark, sf_dir, "conversations").select(F.col("turn").cast("long").alias("chunk_id"), F.col("conv_id").alias("doc_id"), "text"),
-        }[name]()
-        made = PostingIndex(spark, shared_folder(spark, f"index-{name}"))
-        made.write(rows, norm=False)
-        _INDEXES[key] = made
-    return _INDEXES[key]
+    with _BUILDING:
+        if key not in _INDEXES:
+            _INDEXES[key] = _built(spark, sf_dir, name)
+        return _INDEXES[key]
+
+
+def _built(spark: SparkSession, sf_dir: str, name: str) -> PostingIndex:
+    rows = {
+        "documents": lambda: _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"),
+        "conversations": lambda: table(spark, sf_dir, "conversations").select(F.col("turn").cast("long").alias("chunk_id"), F.col("conv_id").alias("doc_id"), "text"),
+    }[name]()
+    made = PostingIndex(spark, shared_folder(spark, f"index-{name}"))
+    made.write(rows, norm=False)
+    return made
 
 
 def _matches(spark: SparkSession, sf_dir: str, text: str, strict: bool = True, allowed: DataFrame | None = None) -> DataFrame:
