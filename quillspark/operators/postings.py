@@ -8,9 +8,11 @@ the lengths' sums; its work follows the postings of its tokens, not the corpus.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from quillspark.operators.index import Clause, Phrase, bm25, holds, phrases_of
 from quillspark.operators.versions import ChangeTable
 
 BUCKETS = 64
+SLICE, LEAST_TEXT = 1_000_000, 100  # bytes of text that become postings at once, and what a text counts at least
 #: ``part``: folded or norm for postings; chunk for a row per chunk, whose ``n_tokens`` counts. ``bucket`` follows from the token, or the chunk.
 ROWS = "bucket int, part string, token string, chunk_id long, doc_id long, tf int, n_tokens long, positions array<int>"
 _TOKEN = re.compile("(?:[^\\W_]|[\ue000-\uf8ff])+")
@@ -36,38 +39,52 @@ def rows_of(chunks: DataFrame, norm: bool = True, heading: str | None = None) ->
     """(chunk_id, doc_id, text) to ROWS without buckets; with ``norm`` the text's dates and numbers are tokens too."""
     columns = ["chunk_id", "doc_id", "text", *([heading] if heading else [])]
 
+    def posted(b: pa.RecordBatch) -> pa.RecordBatch:
+        parts, tokens, owners, docs, tfs, sizes, places = [], [], [], [], [], [], []
+        headings = b.column(heading).to_pylist() if heading else [None] * b.num_rows
+        for chunk, doc, text, above in zip(*(b.column(c).to_pylist() for c in ("chunk_id", "doc_id", "text")), headings, strict=True):
+            found = {"folded": tokenised(text)}
+            if norm:
+                found["norm"] = literal_tokens("\n".join(x for x in (above, text) if x))
+            n = sum(map(len, found.values()))
+            own = [("chunk", "", [])]
+            for part, sequence in found.items():
+                at: dict[str, list[int]] = {}
+                for i, t in enumerate(sequence):
+                    at.setdefault(t, []).append(i)
+                own += [(part, t, p) for t, p in at.items()]
+            for part, t, p in own:
+                parts.append(part)
+                tokens.append(t)
+                tfs.append(len(p))
+                places.append(p)
+            owners += [chunk] * len(own)
+            docs += [doc] * len(own)
+            sizes += [n] * len(own)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(parts, pa.string()), pa.array(tokens, pa.string()), pa.array(owners, pa.int64()), pa.array(docs, pa.int64()),
+             pa.array(tfs, pa.int32()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32()))],
+            names=["part", "token", "chunk_id", "doc_id", "tf", "n_tokens", "positions"],
+        )
+
     def run(batches):
         for b in batches:
-            parts, tokens, owners, docs, tfs, sizes, places = [], [], [], [], [], [], []
-            headings = b.column(heading).to_pylist() if heading else [None] * b.num_rows
-            for chunk, doc, text, above in zip(*(b.column(c).to_pylist() for c in ("chunk_id", "doc_id", "text")), headings, strict=True):
-                found = {"folded": tokenised(text)}
-                if norm:
-                    found["norm"] = literal_tokens("\n".join(x for x in (above, text) if x))
-                n = sum(map(len, found.values()))
-                own = [("chunk", "", [])]
-                for part, sequence in found.items():
-                    at: dict[str, list[int]] = {}
-                    for i, t in enumerate(sequence):
-                        at.setdefault(t, []).append(i)
-                    own += [(part, t, p) for t, p in at.items()]
-                for part, t, p in own:
-                    parts.append(part)
-                    tokens.append(t)
-                    tfs.append(len(p))
-                    places.append(p)
-                owners += [chunk] * len(own)
-                docs += [doc] * len(own)
-                sizes += [n] * len(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.string()), pa.array(tokens, pa.string()), pa.array(owners, pa.int64()), pa.array(docs, pa.int64()),
-                 pa.array(tfs, pa.int32()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32()))],
-                names=["part", "token", "chunk_id", "doc_id", "tf", "n_tokens", "positions"],
-            )
+            yield from map(posted, _slices(b))
 
     return spread(chunks.select(*columns)).mapInArrow(run, ROWS.partition(", ")[2])
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of some SLICE bytes of text, a longer one alone: postings as Python values take many times what their texts do."""
+    start = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()):
+        if held and held + size > SLICE:
+            yield b.slice(start, i - start)
+            start, held = i, 0
+        held += max(size, LEAST_TEXT)
+    yield b.slice(start)
+
+
 def _bucket(part: Column, token: Column, chunk: Column) -> Column:
     return F.pmod(F.when(part == "chunk", F.xxhash64(chunk)).otherwise(F.xxhash64(token)), F.lit(BUCKETS)).cast("int")
 
@@ -168,5 +185,7 @@ class PostingIndex:
     def check(self, chunks: DataFrame, heading: str | None = None, norm: bool = True) -> DataFrame:
         """Postings that the index has and the chunks lack, or the other way round: none if it is sound."""
         keys = ["part", "token", "chunk_id", "tf"]
-        have, want = self._live().select(*keys), rows_of(chunks, norm, heading).select(*keys)
-        return have.exceptAll(want).withColumn("finding", F.lit("surplus")).unionByName(want.exceptAll(have).withColumn("finding", F.lit("missing")))
+        have, want = self._live().select(*keys, F.lit(1).alias("n")), rows_of(chunks, norm, heading).select(*keys, F.lit(-1).alias("n"))
+        differ = have.unionByName(want).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+        finding = F.when(F.col("n") > 0, "surplus").otherwise("missing")
+        return differ.select(*keys, F.explode(F.array_repeat(finding, F.abs("n").cast("int"))).alias("finding"))
