@@ -100,10 +100,15 @@ def with_spill(ordered: DataFrame, extra: DataFrame) -> DataFrame:
 
 def shingles(text: Column, width: int = 5) -> Column:
     """Distinct windows of words of the folded text, or the whole of a short one."""
-    w = F.filter(F.split(tx.fold(text), r"(?U)\s+"), lambda x: x != "")
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
-    short = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(w) > width, F.array_distinct(windows)).otherwise(short)
+
+    def of(w: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        short = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(w) > width, F.array_distinct(windows)).otherwise(short)
+
+    words = F.filter(F.split(tx.fold(text), r"(?U)\s+"), lambda x: x != "")
+    # as a lambda's variable, the words are found once and not anew for each window
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def overlap(a: Column, b: Column) -> Column:
