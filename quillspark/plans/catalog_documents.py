@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import spans
-from quillspark.functions.storage import spread
+from quillspark.functions.storage import dealt
 from quillspark.functions.tables import table
 from quillspark.operators import chunking, incremental, reports
 from quillspark.plans.query import analyze
@@ -35,7 +35,7 @@ _ORDERS = "orders"
 
 
 def _orders(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spread(table(spark, sf_dir, _ORDERS).select("o_orderkey", "o_orderdate", F.expr(text).alias("text")))
+    return dealt(table(spark, sf_dir, _ORDERS), "o_orderkey").select("o_orderkey", "o_orderdate", F.expr(text).alias("text"))
 
 
 def _joined(found: Column) -> Column:
@@ -50,7 +50,7 @@ def date_tokens_dmy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, strftime(l_shipdate, 'dat%Y%m%d mon%Y%m yea%Y') AS tokens FROM lineitem""")
 def date_tokens_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "'wysyłka 'yyyy-MM-dd").alias("text")))
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "'wysyłka 'yyyy-MM-dd").alias("text"))
     return rows.select("l_orderkey", "l_linenumber", _joined(spans.tokens_udf(spans.date_tokens)(F.col("text"))).alias("tokens"))
 
 
@@ -107,13 +107,13 @@ def digit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, 'nip' || (1000000000 + c_custkey) AS token FROM customer")
 def nip_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Nip: "), F.regexp_replace((F.lit(1000000000) + F.col("c_custkey")).cast("string"), r"(\d{3})(\d{3})(\d{2})(\d{2})", "$1-$2-$3-$4"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.get(spans.spans_udf(spans.official_numbers)(text), 0)["token"].alias("token"))
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.get(spans.spans_udf(spans.official_numbers)(text), 0)["token"].alias("token"))
 
 
 @query("SELECT c_custkey, 'accpl61' || lpad(c_custkey::VARCHAR, 24, '7') AS token FROM customer")
 def iban_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("konto PL61 "), F.regexp_replace(F.lpad(F.col("c_custkey").cast("string"), 24, "7"), r"(\d{4})(?=\d)", "$1 "), F.lit("."))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.get(spans.spans_udf(spans.ibans)(text), 0)["token"].alias("token"))
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.get(spans.spans_udf(spans.ibans)(text), 0)["token"].alias("token"))
 
 
 @query("SELECT o_orderkey, 'idffv' || year(o_orderdate) || '07' || (100 + o_orderkey % 900) || ' kwo' || (o_orderkey % 5000 + 1) || '00' AS tokens FROM orders")
